@@ -31,6 +31,11 @@ def bin_by_edges(x, edges: Sequence[float], closed_top: bool = False) -> Column:
     return out
 
 
+def _even(c, digits: int | None) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return c if digits is None else S.half_even(c, digits)
+
+
 def _scored(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     return (df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
             .select(*by, F.col(y).cast("double").alias("_y"),
@@ -91,12 +96,11 @@ def binary_metrics(df: DataFrame, y: str = "home_win", p: str = "home_win_prob_m
         same = same & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
     out = flat.join(ranked, same)
     cols = ["auc", "brier", "logloss", "ece"]
-    return out.select(*by, "n", *[
-        (S.half_even(c, digits) if digits is not None else F.col(c)).alias(c) for c in cols])
+    return out.select(*by, "n", *[_even(c, digits).alias(c) for c in cols])
 
 
 def calibration_buckets(df: DataFrame, y: str = "home_win", p: str = "home_win_prob_model",
-                        by: Sequence[str] = (), digits: int = 4) -> DataFrame:
+                        by: Sequence[str] = (), digits: int | None = 4) -> DataFrame:
     """Reliability table of the favoured side: each game once, at max(p, 1-p) in [0.5, 1]."""
     by = list(by)
     s = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(
@@ -105,13 +109,12 @@ def calibration_buckets(df: DataFrame, y: str = "home_win", p: str = "home_win_p
     b = s.withColumn("_b", bin_by_edges("_f", BUCKET_EDGES, closed_top=True))
     low = (F.col("_b") * 10 + 50).cast("int")
     g = b.groupBy(*by, "_b").agg(
-        S.half_even(F.avg("_f"), digits).alias("mean_predicted"),
-        S.half_even(F.avg("_won"), digits).alias("mean_actual"),
+        _even(F.avg("_f"), digits).alias("mean_predicted"),
+        _even(F.avg("_won"), digits).alias("mean_actual"),
         F.count(F.lit(1)).alias("count"))
     return g.select(*by, F.format_string("%d–%d%%", low, low + 10).alias("bucket"),
                     "mean_predicted", "mean_actual", "count",
-                    S.half_even(F.col("mean_predicted") - F.col("mean_actual"), digits)
-                     .alias("gap"))
+                    _even(F.col("mean_predicted") - F.col("mean_actual"), digits).alias("gap"))
 
 
 def reliability_with_total(buckets: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def reliability_with_total(buckets: DataFrame) -> DataFrame:
 
 
 def daily_calibration(oof: DataFrame, y: str = "home_win", p: str = "home_win_prob_model",
-                      day: str = "game_date") -> DataFrame:
+                      day: str = "game_date", digits: int | None = 4) -> DataFrame:
     """One row per date with decided, scored games: counts, metrics, nested bucket list.
 
     `home_wins` counts home wins and `picks_correct` correct picks.
@@ -138,9 +141,9 @@ def daily_calibration(oof: DataFrame, y: str = "home_win", p: str = "home_win_pr
         F.sum(S.flag(F.col(y) == 1)).alias("home_wins"),
         F.sum(S.flag(F.col(y) == 0)).alias("home_losses"),
         F.sum(S.flag((F.col(p) >= 0.5) == (F.col(y) == 1))).alias("picks_correct"))
-    m = binary_metrics(ok, y, p, ["date"]).drop("n")
+    m = binary_metrics(ok, y, p, ["date"], digits).drop("n")
     # at most five buckets per date
-    nested = (calibration_buckets(ok, y, p, ["date"]).groupBy("date").agg(
+    nested = (calibration_buckets(ok, y, p, ["date"], digits).groupBy("date").agg(
         F.array_sort(F.collect_list(F.struct("bucket", "mean_predicted", "mean_actual", "count",
                                              "gap"))).alias("buckets")))
     return (counts.join(m, "date").join(nested, "date")

@@ -32,9 +32,16 @@ def query(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles so that the order of summation does not show."""
-    return df.select(*[F.round(c, digits).alias(c) if isinstance(t.dataType, T.DoubleType)
-                       else F.col(c) for c, t in zip(df.columns, df.schema.fields)])
+    """Put doubles on a decimal grid so that the order of summation does not show.
+
+    The grid is cut at 0.31 below the next step: exact halves, which occur in averages, would
+    fall on either side of a cut at one half.
+    """
+    step = float(10 ** digits)
+    return df.select(*[
+        (F.floor(F.col(c) * step + 0.31) / step).alias(c)
+        if isinstance(t.dataType, T.DoubleType) else F.col(c)
+        for c, t in zip(df.columns, df.schema.fields)])
 
 
 def _split(rows: DataFrame, key: str, day: str = "game_date"):
@@ -431,7 +438,8 @@ def last_ten(spark, d):
 
 
 def _rated(spark, d):
-    return B.games(spark, d).withColumn("home_elo", F.expr("1400 + (o_totalprice div 1000) % 200"))
+    return B.games(spark, d).withColumn("home_elo", F.expr(
+        "cast(1400 as double) + cast(floor(o_totalprice / 1000) as bigint) % 200"))
 
 
 @query
@@ -500,12 +508,12 @@ def upcoming_slate(spark, d):
 
 @query
 def pooled_metrics(spark, d):
-    return metrics.binary_metrics(B.scored(spark, d), p="prob")
+    return rounded(metrics.binary_metrics(B.scored(spark, d), p="prob", digits=None))
 
 
 @query
 def season_metrics(spark, d):
-    return metrics.binary_metrics(B.scored(spark, d), p="prob", by=["season"])
+    return rounded(metrics.binary_metrics(B.scored(spark, d), p="prob", by=["season"], digits=None))
 
 
 @query
@@ -515,22 +523,22 @@ def auc_by_league(spark, d):
 
 @query
 def calibration_buckets(spark, d):
-    return metrics.calibration_buckets(B.scored(spark, d), p="prob")
+    return rounded(metrics.calibration_buckets(B.scored(spark, d), p="prob", digits=None))
 
 
 @query
 def reliability_total(spark, d):
     return rounded(metrics.reliability_with_total(
-        metrics.calibration_buckets(B.scored(spark, d), p="prob")))
+        metrics.calibration_buckets(B.scored(spark, d), p="prob", digits=None)))
 
 
 @query
 def daily_calibration(spark, d):
-    out = metrics.daily_calibration(B.games(spark, d), p="prob")
-    return out.select("date", "n_games", "home_wins", "home_losses", "picks_correct",
+    out = metrics.daily_calibration(B.games(spark, d), p="prob", digits=None)
+    return rounded(out.select("date", "n_games", "home_wins", "home_losses", "picks_correct",
                       "metrics.*", F.explode("buckets").alias("b")).select(
         "*", "b.bucket", "b.mean_predicted", "b.mean_actual", "b.gap",
-        F.col("b.count").alias("bucket_count")).drop("b")
+        F.col("b.count").alias("bucket_count")).drop("b"))
 
 
 @query
@@ -738,13 +746,14 @@ def run_line_predictions(spark, d):
 def calibration_view(spark, d):
     """The calibration document written as JSON text and read back for one day."""
     oof = B.scored(spark, d).withColumn("home_win_prob_model", F.col("prob"))
-    text = reports.calibration_record(oof, "20000615").select(
+    text = reports.calibration_record(oof, "20000615", digits=None).select(
         F.to_json(F.struct("*")).alias("doc"))
     documents = text.select(F.from_json("doc", artifacts.CALIBRATION).alias("j")).select("j.*")
     view = artifacts.calibration_view(documents, "20000615")
-    return view.select("date", "kpis.*", "day_record.*", F.explode("confidence").alias("c")).select(
-        "date", "auc_roc", "brier_score", "log_loss", "cal_error", "wins", "losses", "completed",
-        "c.bucket", F.col("c.count").alias("bucket_count"), "c.accuracy_pct")
+    return rounded(
+        view.select("date", "kpis.*", "day_record.*", F.explode("confidence").alias("c")).select(
+            "date", "auc_roc", "brier_score", "log_loss", "cal_error", "wins", "losses",
+            "completed", "c.bucket", F.col("c.count").alias("bucket_count"), "c.accuracy_pct"))
 
 
 @query
@@ -752,7 +761,7 @@ def monitor_record(spark, d):
     oof = B.scored(spark, d).withColumn("home_win_prob_model", F.col("prob"))
     base, cur = _years(spark, d)
     out = reports.monitor_record(
-        metrics.binary_metrics(oof), drift.feature_drift(base, cur, _MEASURES),
+        rounded(metrics.binary_metrics(oof, digits=None)), drift.feature_drift(base, cur, _MEASURES),
         metrics.rolling_brier(oof), "20000615", "v1", "2000-06-15")
     return out.select("date", "version", "last_retrained", "next_retrain", "metrics.auc",
                       "metrics.brier", "drift_summary.warnings", "drift_summary.alerts",

@@ -25,7 +25,7 @@ def _beside(*one_row: DataFrame) -> DataFrame:
 
 
 def calibration_record(oof: DataFrame, run_date: str, target: DataFrame | None = None,
-                       p: str = "home_win_prob_model") -> DataFrame:
+                       p: str = "home_win_prob_model", digits: int | None = 4) -> DataFrame:
     """One row: pooled metrics, reliability buckets and the per-day list.
 
     Out-of-fold rows are used unless the target day has more usable rows; rows count only where
@@ -35,10 +35,11 @@ def calibration_record(oof: DataFrame, run_date: str, target: DataFrame | None =
     rows = oof
     if target is not None and target.where(usable).count() > oof.where(usable).count():
         rows = target
-    pooled = metrics.binary_metrics(oof, p=p).select(
+    pooled = metrics.binary_metrics(oof, p=p, digits=digits).select(
         F.col("n").alias("n_games"), F.struct("auc", "brier", "logloss", "ece").alias("metrics"))
-    return _beside(pooled, _nested(metrics.calibration_buckets(rows, p=p), "calibration_buckets"),
-                   _nested(metrics.daily_calibration(oof, p=p), "daily")).select(
+    return _beside(pooled, _nested(
+        metrics.calibration_buckets(rows, p=p, digits=digits), "calibration_buckets"),
+                   _nested(metrics.daily_calibration(oof, p=p, digits=digits), "daily")).select(
         F.lit(run_date).alias("date"), "n_games", "metrics", "calibration_buckets", "daily",
         F.col("n_games").alias("league_total"))
 

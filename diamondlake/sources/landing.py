@@ -158,7 +158,10 @@ def parse_scoreboard(documents: DataFrame) -> DataFrame:
     rows = (game.select("_date", side("home").alias("home"), side("away").alias("away"),
                         F.coalesce("c.venue.fullName", F.lit("Unknown")).alias("venue"))
             .where(F.col("home").isNotNull() & F.col("away").isNotNull())
-            .withColumn("_ts", F.try_to_timestamp("_date")).where(F.col("_ts").isNotNull())
+            .withColumn("_ts", F.coalesce(  # seconds may be missing
+                F.try_to_timestamp("_date"),
+                F.try_to_timestamp("_date", F.lit("yyyy-MM-dd'T'HH:mmX"))))
+            .where(F.col("_ts").isNotNull())
             .select(
                 S.utc_naive("_ts").alias("start_time_utc"),
                 S.canonical_team(F.coalesce("home.team.abbreviation", F.lit(""))).alias("home_team"),
