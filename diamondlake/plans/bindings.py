@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diamondlake.sources.landing import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -81,11 +83,11 @@ def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def games(spark: SparkSession, folder: str) -> DataFrame:
-    return project(table(spark, folder, "orders"), GAMES)
+    return project(spread(table(spark, folder, "orders")), GAMES)
 
 
 def pitches(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
+    lines = spread(table(spark, folder, "lineitem"), "l_orderkey")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
     return project(lines.join(orders, lines.l_orderkey == orders.o_orderkey), PITCHES)
 

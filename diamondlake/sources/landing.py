@@ -77,10 +77,23 @@ def existing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in dict.fromkeys(columns) if c in df.columns])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores; other inputs stay as they are.
+
+    A small file is one split, so one task would do the whole map side. With keys, later grouping
+    by them needs no second shuffle. Large inputs have more splits than cores and keep partial
+    aggregation ahead of their first shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 # --- pitch files -----------------------------------------------------------------------------------
 
 def read_pitches(spark: SparkSession, path: str) -> DataFrame:
-    return conform(spark.read.parquet(path))
+    return conform(spread(spark.read.parquet(path)))
 
 
 def read_landed(spark: SparkSession, path: str, start, end) -> DataFrame:
