@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diamondlake.functions import scalars as S
 
-_SPLITS = 64
+_COARSE = 64     # ranges between approximate quantiles
+_FINE = 64       # equal parts of each of them
 
 
 def long_form(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
@@ -19,38 +21,51 @@ def long_form(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
             .where(F.col("value").isNotNull() & ~F.isnan("value")))
 
 
-def exact_quantiles(values: DataFrame, probs: Sequence[float], key: str = "feature",
-                    value: str = "value") -> DataFrame:
-    """(key, n, quantiles): exact quantiles with linear interpolation.
+def with_rank(values: DataFrame, key: str = "feature", value: str = "value") -> DataFrame:
+    """(key, value, _n, _upto): distinct values with the number of values up to them.
 
-    The built-in exact percentile keeps every distinct value of a key in one buffer. Here values
-    are counted, cut into ranges at approximate split points and ranked inside each range; the
-    ranges' counts give the ranks in the whole. Splits only spread the work, ranks are exact.
-    A key is a feature, that is a column of the source, so the per-key tables that are broadcast
-    have at most one row per column and range.
+    No task sees all values of a key. They are counted, cut into ranges (between approximate
+    quantiles, each in equal parts) and ranked inside each range; the counts of lower ranges give
+    the rank in the whole. The cuts only spread the work, ranks are exact. A key is a feature,
+    that is a column of the source, so the per-key tables that are broadcast have at most one row
+    per column and range.
     """
     counted = values.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    grid = [i / _SPLITS for i in range(1, _SPLITS)]
-    splits = values.groupBy(key).agg(
-        F.array_distinct(F.percentile_approx(value, grid, 2000)).alias("_splits"),
-        F.count(F.lit(1)).alias("_n"))
-    ranged = counted.join(F.broadcast(splits), key).withColumn(
-        "_range", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
+    grid = [i / _COARSE for i in range(_COARSE + 1)]
+    cuts = values.groupBy(key).agg(F.percentile_approx(value, grid, 2000).alias("_cuts"),
+                                   F.count(F.lit(1)).alias("_n"))
+    v = F.col(value)
+    at = F.greatest(F.lit(1), F.least(F.lit(_COARSE), F.size(F.filter("_cuts", lambda c: c < v))))
+    ranged = (counted.join(F.broadcast(cuts), key).withColumn("_at", at)
+              .withColumns({"_lo": F.get("_cuts", F.col("_at") - 1), "_hi": F.get("_cuts", "_at")})
+              .withColumn("_part", F.greatest(F.lit(0), F.least(F.lit(_FINE - 1), F.floor(
+                  F.coalesce(S.ratio((v - F.col("_lo")) * _FINE, F.col("_hi") - F.col("_lo")),
+                             F.lit(0.0))))))
+              .select(key, value, "_c", "_n", (F.col("_at") * _FINE + F.col("_part"))
+                      .cast("int").alias("_range")))
     lower = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (ranged.groupBy(key, "_range").agg(F.sum("_c").alias("_rc"))
                .select(key, "_range",
                        F.coalesce(F.sum("_rc").over(lower), F.lit(0)).alias("_offset")))
     within = Window.partitionBy(key, "_range").orderBy(value)
-    ranked = (ranged.withColumn("_upto", F.sum("_c").over(within))
-              .join(F.broadcast(offsets), [key, "_range"])
-              .withColumn("_upto", F.col("_upto") + F.col("_offset")))
+    return (ranged.withColumn("_local", F.sum("_c").over(within))
+            .join(F.broadcast(offsets), [key, "_range"])
+            .select(key, value, "_n", (F.col("_local") + F.col("_offset")).alias("_upto")))
+
+
+def exact_quantiles(values: DataFrame, probs: Sequence[float], key: str = "feature",
+                    value: str = "value") -> DataFrame:
+    """(key, n, quantiles): exact quantiles with linear interpolation.
+
+    The built-in exact percentile would keep every distinct value of a key in one buffer.
+    """
     # the value at 0-based rank r is the smallest one with more than r values up to it
     position = [(F.col("_n") - 1) * F.lit(float(q)) for q in probs]
     picks = []
     for i, h in enumerate(position):
         picks.append(F.min(F.when(F.col("_upto") > F.floor(h), F.col(value))).alias(f"_lo{i}"))
         picks.append(F.min(F.when(F.col("_upto") > F.ceil(h), F.col(value))).alias(f"_hi{i}"))
-    stats = ranked.groupBy(key).agg(F.max("_n").alias("_n"), *picks)
+    stats = with_rank(values, key, value).groupBy(key).agg(F.max("_n").alias("_n"), *picks)
     edges = []
     for i, h in enumerate(position):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
@@ -150,20 +165,45 @@ def feature_drift(baseline: DataFrame, current: DataFrame, features: Sequence[st
         "n_baseline", "n_current")
 
 
+def newest_rows(games: DataFrame, size: int, day: str = "game_date",
+                tie: str = "game_pk") -> DataFrame:
+    """The `size` newest rows by (day, tie), however large `size` is.
+
+    Counts per date tell which dates are taken whole. In the date that is cut, a counted rank
+    finds the smallest tie value to keep, so nothing is sorted as a whole.
+    """
+    counts = games.groupBy(F.col(day).alias("_day")).agg(F.count(F.lit(1)).alias("_n_day"))
+    newer = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    budget = counts.select("_day", "_n_day", (
+        F.lit(size) - F.coalesce(F.sum("_n_day").over(newer), F.lit(0))).alias("_room"))
+    budget = budget.where(F.col("_room") > 0)  # one row per calendar date
+    marked = games.join(F.broadcast(budget), F.col(day) == F.col("_day"))
+    kind = games.schema[tie].dataType
+    order = F.col(tie) if isinstance(kind, T.NumericType) else F.xxhash64(tie)
+    partly = marked.where(F.col("_n_day") > F.col("_room")).select(
+        "_day", "_room", order.alias("_tie"))
+    ranked = with_rank(partly.select(F.lit("cut").alias("feature"), F.col("_tie").alias("value")))
+    room = partly.agg(F.max("_room").alias("_room")).withColumn("feature", F.lit("cut"))
+    least = (ranked.join(F.broadcast(room), "feature")
+             .agg(F.min(F.when(F.col("_upto") > F.col("_n") - F.col("_room"), F.col("value")))
+                  .alias("_least"), F.lit(1).alias("_k_one")))
+    return (marked.withColumn("_one", F.lit(1))
+            .join(F.broadcast(least), F.col("_one") == F.col("_k_one"), "left")
+            .where((F.col("_n_day") <= F.col("_room")) | (order >= F.col("_least")))
+            .select(*games.columns))
+
+
 def drift_windows(games: DataFrame, target_date, days: int = 7, ratio: int = 3,
                   at_least: int = 250) -> tuple[DataFrame, DataFrame]:
     """(baseline, current): decided games of the last days, and the newest rows before them.
 
-    The baseline holds max(ratio * current, at_least) games. One count runs here; the cut is then
-    a top-n by date, which Spark takes per partition before merging.
+    The baseline holds max(ratio * current, at_least) games; one count runs here.
     """
     decided = games.where(F.col("home_win").isNotNull())
     cutoff = F.date_sub(F.lit(target_date).cast("date"), days)
     current = decided.where(F.col("game_date") >= cutoff)
     size = max(ratio * current.count(), at_least)
-    baseline = (decided.where(F.col("game_date") < cutoff)
-                .orderBy(F.desc("game_date"), F.desc("game_pk")).limit(size))
-    return baseline, current
+    return newest_rows(decided.where(F.col("game_date") < cutoff), size), current
 
 
 def drift_summary(drift: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Point-in-time operators: everything here looks only at rows strictly before the current one.
 
 Ordered windows run one task per key. A key that holds a large part of the rows would leave one
-task with all the work, so the window operators accept a `Split`: hot keys are cut into time
-slices that different tasks handle, and what a slice needs from earlier slices (the last n rows,
-or running totals) is handed over through small per-slice tables. Results are the same with and
-without a split.
+task with all the work, so the window operators accept a `Split`: hot keys are cut into ranges of
+the ordering value that different tasks handle, and what a range needs from earlier ones (the last
+n rows, or running totals) is handed over through small per-range tables. Results are the same
+with and without a split.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000          # rows of one key that a single window task may get
-BROADCAST_KEYS = 1_000_000    # more hot keys than this are joined by shuffle instead
+BROADCAST_KEYS = 10_000       # more hot keys than this are joined by shuffle instead
+MAX_PIECES = 512              # ranges one hot key is cut into at most
 _SLICE = "_slice"
 
 
@@ -31,40 +32,50 @@ def filter_prior(df: DataFrame, as_of, time_col: str = "start_time_utc") -> Data
 
 @dataclass
 class Split:
-    """Hot keys (one row each) and the monotone slice value their rows are cut by."""
+    """Hot keys, one row each, with the points at which their ordering value is cut."""
 
     hot: DataFrame
     keys: list[str]
-    slice_by: Column
+    by: Column
     small: bool = True
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the slice: NULL for rows of ordinary keys, which stay whole."""
+        """Add the range number: NULL for rows of ordinary keys, which stay whole."""
         hot = self.hot.select(*[F.col(k).alias(f"_hot_{k}") for k in self.keys],
-                              F.lit(True).alias("_is_hot"))
+                              F.col("cuts").alias("_cuts"))
         hot = F.broadcast(hot) if self.small else hot
         same = reduce(lambda a, b: a & b,
                       [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in self.keys])
+        by = self.by
         return (df.join(hot, same, "left")
-                .withColumn(_SLICE, F.when(F.col("_is_hot"), self.slice_by))
-                .drop("_is_hot", *[f"_hot_{k}" for k in self.keys]))
+                .withColumn(_SLICE, F.when(F.col("_cuts").isNotNull(),
+                                           F.size(F.filter("_cuts", lambda c: c < by))))
+                .drop("_cuts", *[f"_hot_{k}" for k in self.keys]))
 
 
-def hot_split(rows: DataFrame, keys: Sequence[str], slice_by, limit: int = HOT_ROWS) -> Split | None:
-    """Count rows per key (partial counts before the shuffle); None when no key is hot.
+def hot_split(rows: DataFrame, keys: Sequence[str], by: Column,
+              limit: int = HOT_ROWS) -> Split | None:
+    """Find keys with more than `limit` rows; None when there are none, the usual case.
 
-    There are at most rows/limit hot keys, and their number is checked before they are broadcast.
+    Rows are counted with partial counts ahead of the shuffle. `by` is a number that grows with
+    the order used later; for hot keys it is cut at approximate quantiles into ranges of about
+    `limit` rows. There are at most rows/limit hot keys, and their number is checked before they
+    are broadcast.
     """
-    counts = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-    n = counts.count()
-    if n == 0:
+    keys = list(keys)
+    counts = rows.groupBy(*keys).count().where(F.col("count") > limit)
+    n, largest = counts.agg(F.count(F.lit(1)), F.max("count")).first()
+    if not n:
         return None
-    by = F.col(slice_by) if isinstance(slice_by, str) else slice_by
-    return Split(counts, list(keys), by, n <= BROADCAST_KEYS)
-
-
-def month_of(col: str) -> Column:
-    return F.year(col) * 12 + F.month(col)
+    pieces = min(max(2, -(-largest // limit)), MAX_PIECES)
+    grid = [i / pieces for i in range(1, pieces)]
+    wanted = counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    small = n <= BROADCAST_KEYS
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    hot = (rows.join(F.broadcast(wanted) if small else wanted, same, "left_semi")
+           .groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, grid, 10_000))
+                               .alias("cuts")))
+    return Split(hot, keys, by, small)
 
 
 def day_of(col: str) -> Column:

@@ -138,10 +138,12 @@ def records_entering(games: DataFrame, split: Split | None = None,
 
 
 def sides_to_columns(frame: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Fold side rows into one row per game; `names` maps a column to a '{side}' pattern."""
+    """Fold side rows into one row per game; `names` maps a column to a pattern with {side}, the
+    row's own side, or {other}."""
     return frame.groupBy("game_pk").agg(*[
-        F.max(F.when(F.col("side") == side, F.col(c))).alias(pattern.format(side=side))
-        for c, pattern in names.items() for side in ("home", "away")])
+        F.max(F.when(F.col("side") == side, F.col(c)))
+         .alias(pattern.format(side=side, other=other))
+        for c, pattern in names.items() for side, other in (("home", "away"), ("away", "home"))])
 
 
 def final_records(games: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from diamondlake.operators import prior
 from diamondlake.plans import bindings as B
 from diamondlake.plans import game_features as G
 from diamondlake.plans import reports, slate
+from diamondlake.session import Stage
 from diamondlake.sources import artifacts, cache, landing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +46,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _split(rows: DataFrame, key: str, day: str = "game_date"):
-    return prior.hot_split(rows, [key], prior.month_of(day))
+    return prior.hot_split(rows, [key], prior.day_of(day))
 
 
 def _base(spark, d):
@@ -194,14 +195,14 @@ def _rolling_events(spark, d, split):
 @query
 def rolling_mean(spark, d):
     ev = B.table(spark, d, "events")
-    return _rolling_events(spark, d, prior.hot_split(ev, ["user_id"], prior.day_of("ts")))
+    return _rolling_events(spark, d, prior.hot_split(ev, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp"))))
 
 
 @query
 def rolling_mean_hot_keys(spark, d):
-    """The same result with every user of more than 60 events cut by day."""
+    """The same result with every user of more than 60 events cut into ranges of time."""
     ev = B.table(spark, d, "events")
-    return _rolling_events(spark, d, prior.hot_split(ev, ["user_id"], prior.day_of("ts"), 60))
+    return _rolling_events(spark, d, prior.hot_split(ev, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")), 30))
 
 
 @query
@@ -254,9 +255,7 @@ def rest_days(spark, d):
 @query
 def plate_appearances(spark, d):
     p = B.pitches(spark, d)
-    split = prior.hot_split(p.where(S.ends_plate_appearance()), ["game_pk"],
-                            F.col("at_bat_number"))
-    return rounded(A.plate_appearances(p, split))
+    return rounded(A.plate_appearances(p, G.pa_split(p)))
 
 
 def _pitcher_games(spark, d):
@@ -270,16 +269,15 @@ def pitcher_games(spark, d):
 
 @query
 def pitcher_rates(spark, d):
-    lines = B.table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "pitcher")
-    split = prior.hot_split(lines, ["pitcher"], prior.month_of("game_date"))
+    split = prior.hot_split(B.pitches(spark, d), ["pitcher"], prior.day_of("game_date"))
     return rounded(A.pitcher_rates(_pitcher_games(spark, d), 6, split))
 
 
 @query
 def pitcher_rates_hot_keys(spark, d):
-    """The same rates with the windows of busy pitchers cut by month."""
+    """The same rates with the windows of busy pitchers cut into ranges of dates."""
     pg = _pitcher_games(spark, d)
-    split = prior.hot_split(pg, ["pitcher"], prior.month_of("game_date"), 50)
+    split = prior.hot_split(pg, ["pitcher"], prior.day_of("game_date"), 50)
     return rounded(A.pitcher_rates(pg, 6, split))
 
 
@@ -333,15 +331,14 @@ def pitcher_stuff(spark, d):
 
 @query
 def pitcher_stuff_form(spark, d):
-    lines = B.table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "pitcher")
-    split = prior.hot_split(lines, ["pitcher"], prior.month_of("game_date"))
+    split = prior.hot_split(B.pitches(spark, d), ["pitcher"], prior.day_of("game_date"))
     return rounded(A.pitcher_stuff_form(A.pitcher_stuff(_base(spark, d)), split=split))
 
 
 @query
 def pitcher_stuff_hot_keys(spark, d):
     stuff = A.pitcher_stuff(_base(spark, d))
-    split = prior.hot_split(stuff, ["pitcher"], prior.month_of("game_date"), 50)
+    split = prior.hot_split(stuff, ["pitcher"], prior.day_of("game_date"), 50)
     return rounded(A.pitcher_stuff_form(stuff, split=split))
 
 
@@ -351,9 +348,7 @@ def batter_games(spark, d):
 
 
 def _form(spark, d):
-    split = prior.hot_split(
-        B.table(spark, d, "lineitem").selectExpr("l_partkey % 300 as batter"), ["batter"],
-        prior.month_of("game_date"))
+    split = prior.hot_split(B.pitches(spark, d), ["batter"], prior.day_of("game_date"))
     return A.batter_form(A.batter_games(B.pitches(spark, d)), split=split)
 
 
@@ -369,13 +364,13 @@ def league_mean(spark, d):
 
 @query
 def batter_ratings(spark, d):
-    form = _form(spark, d)
+    form = Stage(spark).put("batter_form", _form(spark, d))
     return rounded(A.batter_ratings(form, A.league_mean(form)))
 
 
 @query
 def lineups(spark, d):
-    form = _form(spark, d)
+    form = Stage(spark).put("batter_form", _form(spark, d))
     return rounded(A.lineups(A.batter_ratings(form, A.league_mean(form))))
 
 
@@ -415,10 +410,10 @@ def records_entering(spark, d):
 
 @query
 def records_entering_hot_keys(spark, d):
-    """The same records with team-seasons of more than 100 games cut by month."""
+    """The same records with team-seasons of more than 100 games cut into ranges of dates."""
     g = B.games(spark, d)
     split = prior.hot_split(A.team_games(g, "season"), ["team", "season"],
-                            prior.month_of("game_date"), 100)
+                            prior.day_of("game_date"), 100)
     return ratings.records_entering(g, split)
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diamondlake.functions import scalars as S
 from diamondlake.operators import appearances as A
 from diamondlake.operators import ratings
-from diamondlake.operators.prior import HOT_ROWS, hot_split, load_before, month_of
+from diamondlake.operators.prior import (HOT_ROWS, Split, day_of, hot_split, load_before,
+                                         running)
 from diamondlake.session import Stage
 
 PITCHER_FEATURES = ["sp_era", "sp_k9", "sp_bb9", "sp_whip", "sp_fip", "sp_xwoba",
@@ -52,39 +53,37 @@ def assemble(games: DataFrame, team_frames: list[DataFrame],
                      team_frames, sides)
     full = reduce(lambda a, b: a.join(b.drop("game_date"), ["game_pk", "pitcher"], "left"),
                   pitcher_frames, by_team)
-    have = [c for c in PITCHER_FEATURES + TEAM_FEATURES if c in full.columns]
-    names = {c: c + "_{side}" for c in have}
-    wide = ratings.sides_to_columns(full, names)
+    names = {c: c + "_{side}" for c in PITCHER_FEATURES + TEAM_FEATURES if c in full.columns}
     if "lineup_lefty_share_30g" in full.columns:
-        share = F.col("lineup_lefty_share_30g")
-        mirrored = full.groupBy("game_pk").agg(
-            F.max(F.when(F.col("side") == "away", share)).alias("opp_lefty_share_home"),
-            F.max(F.when(F.col("side") == "home", share)).alias("opp_lefty_share_away"))
-        wide = wide.join(mirrored, "game_pk")
-    return games.join(wide, "game_pk", "left")
+        names["lineup_lefty_share_30g"] = "opp_lefty_share_{other}"
+    return games.join(ratings.sides_to_columns(full, names), "game_pk", "left")
+
+
+def pa_split(pitches: DataFrame, hot_rows: int = HOT_ROWS) -> Split | None:
+    """Games with an extreme number of plate appearances."""
+    return hot_split(pitches.where(S.ends_plate_appearance()), ["game_pk"],
+                     F.col("at_bat_number"), hot_rows)
 
 
 def build_game_features(pitches: DataFrame, stage: Stage | None = None,
                         hot_rows: int = HOT_ROWS) -> DataFrame:
     """The full game frame from a conformed pitch log.
 
-    The per-(game, half, pitcher) aggregate and the game frame feed many branches, so they are
-    written once to the shared folder. Keys whose pitch count exceeds `hot_rows` get their windows
-    cut by month.
+    The per-(game, half, pitcher) aggregate, the game frame and the batter rows feed several
+    branches, so they are written once to the shared folder. Keys with more than `hot_rows` rows
+    get their windows cut into ranges of dates.
     """
     stage = stage or Stage(pitches.sparkSession)
-    by_month = month_of("game_date")
     base = stage.put("game_half_pitcher", A.game_half_pitcher(pitches))
     games = stage.put("games", A.game_results(pitches))
-    pitcher_split = hot_split(base, ["pitcher"], by_month, hot_rows)
-    batter_split = hot_split(pitches.where(S.ends_plate_appearance()), ["batter"], by_month,
-                             hot_rows)
-    team_split = hot_split(A.team_games(games), ["team"], by_month, hot_rows)
-    game_split = hot_split(pitches.where(S.ends_plate_appearance()), ["game_pk"],
-                           F.col("at_bat_number"), hot_rows)
+    batters = stage.put("batter_games", A.batter_games(pitches))
+    by_day = day_of("game_date")
+    pitcher_split = hot_split(base, ["pitcher"], by_day, hot_rows)
+    batter_split = hot_split(batters, ["batter"], by_day, hot_rows)
+    team_split = hot_split(A.team_games(games), ["team"], by_day, hot_rows)
 
     relief = A.relievers(base, games)
-    form = stage.put("batter_form", A.batter_form(A.batter_games(pitches), split=batter_split))
+    form = stage.put("batter_form", A.batter_form(batters, split=batter_split))
     lineups = A.lineups(A.batter_ratings(form, A.league_mean(form)))
     team_frames = [
         A.rest_days(games, team_split),
@@ -95,8 +94,8 @@ def build_game_features(pitches: DataFrame, stage: Stage | None = None,
         lineups,
     ]
     pitcher_frames = [
-        A.pitcher_rates(A.pitcher_games(A.plate_appearances(pitches, game_split)),
-                        split=pitcher_split),
+        A.pitcher_rates(A.pitcher_games(A.plate_appearances(
+            pitches, pa_split(pitches, hot_rows))), split=pitcher_split),
         A.pitcher_stuff_form(A.pitcher_stuff(base), split=pitcher_split),
     ]
     return assemble(games, team_frames, pitcher_frames)
@@ -111,9 +110,10 @@ def enrich_games(games: DataFrame, league: str | None = None) -> DataFrame:
     return games.join(elo, "game_pk", "left").join(rec, "game_pk", "left")
 
 
-def situational_columns(pitches: DataFrame) -> DataFrame:
+def situational_columns(pitches: DataFrame, split: Split | None = None) -> DataFrame:
     """Base state, score, matchup, pitch count in the at-bat and pitch family per pitch."""
-    at_bat = Window.partitionBy("game_pk", "at_bat_number").orderBy("pitch_number")
+    pitches = running(pitches.withColumn("_one", F.lit(1)), ["game_pk", "at_bat_number"],
+                      ["pitch_number"], {"_earlier": "_one"}, split)
     risp = S.occupied("on_2b", "on_3b")
     return pitches.withColumns({
         "bases_loaded": S.occupied("on_1b", "on_2b", "on_3b"),
@@ -121,7 +121,7 @@ def situational_columns(pitches: DataFrame) -> DataFrame:
         "is_risp": risp > 0,
         "score_diff": F.coalesce("home_score", F.lit(0)) - F.coalesce("away_score", F.lit(0)),
         "batting_team": S.batting_team(),
-        "ab_pitch_count": F.row_number().over(at_bat),
+        "ab_pitch_count": (F.coalesce("_earlier", F.lit(0)) + 1).cast("int"),
         "times_through_order": F.ceil(F.col("at_bat_number") / F.lit(9.0)).cast("int"),
         "lr_matchup": F.when(F.col("stand") == F.col("p_throws"), "same").otherwise("opposite"),
         "exit_velocity": F.col("launch_speed"),
@@ -130,10 +130,11 @@ def situational_columns(pitches: DataFrame) -> DataFrame:
         **{new: F.col(old) for old, new in (("barrel", "is_barrel"),
                                             ("hard_contact", "is_hard_hit"))
            if old in pitches.columns},
-    })
+    }).drop("_one", "_earlier")
 
 
-def build_pitch_features(pitches: DataFrame, games: DataFrame) -> DataFrame:
+def build_pitch_features(pitches: DataFrame, games: DataFrame,
+                         hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every pitch with its situation and its game's features.
 
     The join and the at-bat window share the partitioning by game, and AQE broadcasts the game
@@ -141,7 +142,8 @@ def build_pitch_features(pitches: DataFrame, games: DataFrame) -> DataFrame:
     """
     have = [c for c in PITCH_ROW_FEATURES if c in games.columns]
     joined = pitches.join(games.select("game_pk", *have), "game_pk", "left")
-    return situational_columns(joined)
+    split = hot_split(pitches, ["game_pk", "at_bat_number"], F.col("pitch_number"), hot_rows)
+    return situational_columns(joined, split)
 
 
 PITCH_ORDER = ["game_date", "game_pk", "inning", "at_bat_number", "pitch_number"]

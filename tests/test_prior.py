@@ -56,7 +56,7 @@ AGGS = {"s": ("sum", "v"), "a": ("avg", "v"), "c": ("count", "v"), "t": ("sum",
 
 @pytest.mark.parametrize("window", [1, 6, 40])
 def test_split_keys_give_the_same_trailing_windows(spark, history, window):
-    split = prior.hot_split(history, ["k"], F.dayofyear("d"), 100)
+    split = prior.hot_split(history, ["k"], prior.day_of("d"), 100)
     assert {r["k"] for r in split.hot.collect()} == {"hot"}
     whole = prior.trailing(history, ["k"], ["d", "id"], window, AGGS)
     cut = prior.trailing(history, ["k"], ["d", "id"], window, AGGS, split)
@@ -64,7 +64,7 @@ def test_split_keys_give_the_same_trailing_windows(spark, history, window):
 
 
 def test_split_of_every_key_including_null(spark, history):
-    split = prior.hot_split(history, ["k"], F.month("d"), 1)
+    split = prior.hot_split(history, ["k"], prior.day_of("d"), 1)
     assert split.hot.count() == 5
     whole = prior.trailing(history, ["k"], ["d", "id"], 4, AGGS)
     cut = prior.trailing(history, ["k"], ["d", "id"], 4, AGGS, split)
@@ -72,7 +72,7 @@ def test_split_of_every_key_including_null(spark, history):
 
 
 def test_split_keys_give_the_same_running_sums(spark, history):
-    split = prior.hot_split(history, ["k"], F.month("d"), 100)
+    split = prior.hot_split(history, ["k"], prior.day_of("d"), 100)
     sums = {"sv": "v", "sn": "n"}
     whole = prior.running(history, ["k"], ["d", "id"], sums)
     cut = prior.running(history, ["k"], ["d", "id"], sums, split)
@@ -96,7 +96,7 @@ def test_input_order_does_not_matter(spark, history):
 
 
 def test_no_hot_key_means_no_split(spark, history):
-    assert prior.hot_split(history, ["k"], F.month("d")) is None
+    assert prior.hot_split(history, ["k"], prior.day_of("d")) is None
 
 
 # --- as-of ------------------------------------------------------------------------------------------

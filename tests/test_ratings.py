@@ -4,7 +4,7 @@ import random
 import pytest
 
 from diamondlake.operators import ratings
-from diamondlake.operators.prior import hot_split, month_of
+from diamondlake.operators.prior import day_of, hot_split
 
 SCHEMA = ("game_pk long, game_date date, home_team string, away_team string, home_win double, "
           "home_score int, away_score int")
@@ -89,8 +89,9 @@ def test_records_with_split_seasons(spark):
     rows = [((dt.date(2024, 4, 1) + dt.timedelta(days=i // 2)).isoformat(), "H",
              f"t{rng.randrange(5)}", rng.choice([0, 1, None]), 3, 2) for i in range(300)]
     g = games(spark, rows)
-    split = hot_split(g.selectExpr("home_team as team", "year(game_date) as season"),
-                      ["team", "season"], month_of("game_date"), 50)
+    split = hot_split(g.selectExpr(
+        "home_team as team", "year(game_date) as season", "game_date"),
+                      ["team", "season"], day_of("game_date"), 50)
     a = ratings.records_entering(g).collect()
     b = ratings.records_entering(g, split).collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
