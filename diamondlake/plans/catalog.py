@@ -605,6 +605,28 @@ def american_lines(spark, d):
                             S.american_to_probability(line).alias("back")))
 
 
+@query
+def range_accuracy(spark, d):
+    history = metrics.prediction_history(B.games(spark, d), "prob")
+    return reports.accuracy(landing.between_dates(history, "1996-01-01", "1999-12-31"))
+
+
+@query
+def local_times(spark, d):
+    ev = B.table(spark, d, "events")
+    eastern = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
+    return ev.select("event_id", eastern.alias("eastern"), S.is_evening("ts").alias("evening"),
+                     S.utc_naive(eastern, "America/New_York").alias("back"))
+
+
+@query
+def event_properties(spark, d):
+    props = F.from_json("props", "k bigint, note string")
+    return B.table(spark, d, "events").select(
+        "event_id", F.coalesce(props["k"], F.lit(0)).alias("k"),
+        F.coalesce(props["note"], F.lit("none")).alias("note"))
+
+
 # --- folds ------------------------------------------------------------------------------------------
 
 @query

@@ -709,6 +709,15 @@ O["american_lines"] = f"""with {GAMES}, ml as (select game_pk, cast(case when pr
  as line from games where prob > 0)
 select game_pk, line, {r(_implied("line"))} as back from ml"""
 
+O["range_accuracy"] = f"""with {GAMES} select count(*) as n_games, {even("100.0e0 * avg("
+ "case when (prob >= 0.5) = (home_win = 1) then 1 else 0 end)", 1)} as accuracy_pct from games
+where home_win is not null and game_date between date '1996-01-01' and date '1999-12-31'"""
+_EASTERN = "timezone('America/New_York', timezone('UTC', ts))"
+O["local_times"] = f"""select event_id, {_EASTERN} as eastern, hour({_EASTERN}) >= 19 as evening,
+ ts as back from events"""
+O["event_properties"] = """select event_id, coalesce(cast(json_extract(props, '$.k') as bigint), 0)
+ as k, 'none' as note from events"""
+
 # --- folds ------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,4 @@
 import datetime as dt
-import math
-import random
 
 import numpy as np
 import pytest
@@ -145,4 +143,4 @@ def test_coverage(spark):
     got = {r["feature"]: r["coverage_pct"] for r in
            drift.feature_coverage(df, ["a", "b", "zz"]).collect()}
     assert got == {"a": 67.0, "b": 33.0}
-    assert not math.isnan(got["a"]) and random
+
