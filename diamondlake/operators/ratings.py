@@ -139,10 +139,17 @@ def records_entering(games: DataFrame, split: Split | None = None,
 
 def sides_to_columns(frame: DataFrame, names: dict[str, str]) -> DataFrame:
     """Fold side rows into one row per game; `names` maps a column to a pattern with {side}, the
-    row's own side, or {other}."""
-    return frame.groupBy("game_pk").agg(*[
-        F.max(F.when(F.col("side") == side, F.col(c)))
-         .alias(pattern.format(side=side, other=other))
+    row's own side, or {other}.
+
+    A game has one row per side, which is carried as one struct: two aggregate functions instead
+    of two per column keep the generated code small.
+    """
+    row = F.struct(*names)
+    folded = frame.groupBy("game_pk").agg(*[
+        F.first(F.when(F.col("side") == side, row), ignorenulls=True).alias(f"_{side}")
+        for side in ("home", "away")])
+    return folded.select("game_pk", *[
+        F.col(f"_{side}")[c].alias(pattern.format(side=side, other=other))
         for c, pattern in names.items() for side, other in (("home", "away"), ("away", "home"))])
 
 

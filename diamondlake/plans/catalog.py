@@ -376,7 +376,8 @@ def lineups(spark, d):
 
 @query
 def game_features(spark, d):
-    return rounded(G.build_game_features(B.pitches(spark, d)), 5)
+    stage = Stage(spark)
+    return rounded(G.build_game_features(stage.put("pitches", B.pitches(spark, d)), stage), 5)
 
 
 @query

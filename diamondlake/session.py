@@ -22,6 +22,7 @@ def build_session(master: str | None = None, cores: int | None = None, **conf) -
         builder = builder.master(master)
         if master.startswith("local"):
             builder = (builder.config("spark.sql.shuffle.partitions", str(cores or 8))
+                       .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
                        .config("spark.driver.memory", "8g")
                        .config("spark.ui.enabled", "false"))
     for k, v in {**SETTINGS, **conf}.items():
