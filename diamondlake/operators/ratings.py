@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +13,7 @@ from diamondlake import constants as K
 from diamondlake.functions import scalars as S
 from diamondlake.operators.appearances import team_games
 from diamondlake.operators.prior import Split, filter_prior, running
+from diamondlake.session import Stage
 
 # --- Elo -------------------------------------------------------------------------------------------
 
@@ -36,68 +38,116 @@ class _Ratings:
         return h, a
 
 
-def _by_league(games: DataFrame, league: str | None) -> DataFrame:
-    """Narrow rows, one league per task, in playing order (external sort, spills to disk)."""
-    rows = games.select(
-        (F.col(league) if league else F.lit("all")).cast("string").alias("league"),
-        F.year("game_date").alias("season"), "game_date", "game_pk",
-        "home_team", "away_team", F.col("home_win").cast("double").alias("home_win"))
-    return rows.repartition("league").sortWithinPartitions("league", "game_date", "game_pk")
+_FOLDED = ("kind string, league string, season int, game_pk {pk}, team string, "
+           "home_elo double, away_elo double")
 
 
-def elo_entering(games: DataFrame, league: str | None = None, k: float = K.ELO_K,
-                 advantage: float = K.ELO_HOME_ADVANTAGE, start: float = K.ELO_START,
-                 revert: float = K.ELO_REVERT) -> DataFrame:
-    """(game_pk, home_elo, away_elo) as both teams enter the game.
+def _fold(games: DataFrame, league: str | None, initial: DataFrame | None, k: float,
+          advantage: float, start: float, revert: float) -> DataFrame:
+    """Play each league's games in order; rows of kind 'game' (ratings entering it) and, at the
+    end, of kind 'state' (rating of each team).
 
-    A rating depends on every earlier game of the league, so a league is one ordered stream;
-    leagues run in parallel. Rows arrive in Arrow batches and are never gathered.
+    A rating depends on every earlier game of its league, so a league is one ordered stream of
+    narrow rows (external sort, spills to disk) that arrives in Arrow batches and is never
+    gathered; leagues run in parallel. Rows of `initial` precede the games and set the state.
     """
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pk = games.schema["game_pk"].dataType.simpleString()
+    rows = games.select(
+        (F.col(league) if league else F.lit("all")).cast("string").alias("league"),
+        F.year("game_date").alias("season"), "game_date", "game_pk",
+        "home_team", "away_team", F.col("home_win").cast("double").alias("value"),
+        F.lit(False).alias("is_seed"))
+    if initial is not None:  # no date: sorts first
+        rows = rows.unionByName(initial.select(
+            "league", "season", F.lit(None).cast("date").alias("game_date"),
+            F.lit(None).cast(pk).alias("game_pk"), F.col("team").alias("home_team"),
+            F.lit(None).cast("string").alias("away_team"), F.col("elo").alias("value"),
+            F.lit(True).alias("is_seed")))
+    ordered = rows.repartition("league").sortWithinPartitions("league", "game_date", "game_pk")
+
+    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
-        for rows in batches:
-            entry = []
-            for lg, season, home, away, won in zip(
-                    rows["league"], rows["season"], rows["home_team"], rows["away_team"],
-                    rows["home_win"]):
+
+        def final():
+            n = len(state.elo)
+            return pd.DataFrame({
+                "kind": ["state"] * n, "league": [current] * n, "season": [state.season] * n,
+                "game_pk": [None] * n, "team": list(state.elo),
+                "home_elo": list(state.elo.values()), "away_elo": [None] * n})
+
+        for batch in batches:
+            games_of, entry = [], []
+            for i, (lg, season, home, away, value, seed) in enumerate(zip(
+                    batch["league"], batch["season"], batch["home_team"], batch["away_team"],
+                    batch["value"], batch["is_seed"])):
                 if state is None or lg != current:
+                    if state is not None and state.elo:
+                        yield final()
                     current, state = lg, _Ratings(k, advantage, start, revert)
-                entry.append(state.play(season, home, away, won))
-            yield pd.DataFrame({"game_pk": rows["game_pk"],
-                                "home_elo": [e[0] for e in entry],
-                                "away_elo": [e[1] for e in entry]})
+                if seed:
+                    state.elo[home], state.season = value, season
+                else:
+                    games_of.append(i)
+                    entry.append(state.play(season, home, away, value))
+            played = batch.iloc[games_of]
+            yield pd.DataFrame({
+                "kind": "game", "league": played["league"], "season": played["season"],
+                "game_pk": played["game_pk"], "team": None,
+                "home_elo": [e[0] for e in entry], "away_elo": [e[1] for e in entry]})
+        if state is not None and state.elo:
+            yield final()
 
-    pk = games.schema["game_pk"].dataType.simpleString()
-    return _by_league(games, league).mapInPandas(
-        fold, f"game_pk {pk}, home_elo double, away_elo double")
+    return ordered.mapInPandas(play, _FOLDED.format(pk=pk))
+
+
+def _entering(folded: DataFrame) -> DataFrame:
+    return folded.where("kind = 'game'").select("game_pk", "home_elo", "away_elo")
+
+
+def _state(folded: DataFrame) -> DataFrame:
+    return folded.where("kind = 'state'").select("league", "season", "team",
+                                                 F.col("home_elo").alias("elo"))
+
+
+def elo_entering(games: DataFrame, league: str | None = None, initial: DataFrame | None = None,
+                 k: float = K.ELO_K, advantage: float = K.ELO_HOME_ADVANTAGE,
+                 start: float = K.ELO_START, revert: float = K.ELO_REVERT) -> DataFrame:
+    """(game_pk, home_elo, away_elo) as both teams enter the game.
+
+    With `initial`, a rating table as `elo_as_of` returns it, only games after it are read.
+    """
+    return _entering(_fold(games, league, initial, k, advantage, start, revert))
 
 
 def elo_as_of(games: DataFrame, as_of, time_col: str = "start_time_utc",
-              league: str | None = None, k: float = K.ELO_K,
+              league: str | None = None, initial: DataFrame | None = None, k: float = K.ELO_K,
               advantage: float = K.ELO_HOME_ADVANTAGE, start: float = K.ELO_START,
               revert: float = K.ELO_REVERT) -> DataFrame:
-    """(league, team, elo) after all games that start before `as_of`."""
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+    """(league, season, team, elo) after all games that start before `as_of`."""
+    return _state(_fold(filter_prior(games, as_of, time_col), league, initial, k, advantage,
+                        start, revert))
 
-        def final():
-            return pd.DataFrame({"league": [current] * len(state.elo),
-                                 "team": list(state.elo), "elo": list(state.elo.values())})
 
-        for rows in batches:
-            for lg, season, home, away, won in zip(
-                    rows["league"], rows["season"], rows["home_team"], rows["away_team"],
-                    rows["home_win"]):
-                if state is None or lg != current:
-                    if state is not None:
-                        yield final()
-                    current, state = lg, _Ratings(k, advantage, start, revert)
-                state.play(season, home, away, won)
-        if state is not None:
-            yield final()
+def elo_by_season(games: DataFrame, stage: Stage, league: str | None = None,
+                  k: float = K.ELO_K, advantage: float = K.ELO_HOME_ADVANTAGE,
+                  start: float = K.ELO_START, revert: float = K.ELO_REVERT) -> DataFrame:
+    """`elo_entering`, one season at a time.
 
-    return _by_league(filter_prior(games, as_of, time_col), league).mapInPandas(
-        fold, "league string, team string, elo double")
+    No task gets more than one season of a league. Each season is written with the ratings it ends
+    on, which the next one starts from, so a lost executor costs at most one season.
+    """
+    years = sorted(r[0] for r in games.select(F.year("game_date")).distinct().collect()
+                   if r[0] is not None)  # one number per calendar year
+    parts, state = [], None
+    for y in years:
+        season = games.where(F.col("game_date").between(
+            F.lit(f"{y}-01-01").cast("date"), F.lit(f"{y}-12-31").cast("date")))
+        folded = stage.put(f"elo_{y}", _fold(season, league, state, k, advantage, start, revert))
+        parts.append(_entering(folded))
+        state = _state(folded)
+    if not parts:
+        return elo_entering(games, league)
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # --- season records --------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from diamondlake.operators import prior
 from diamondlake.plans import bindings as B
 from diamondlake.plans import game_features as G
 from diamondlake.plans import reports, slate
-from diamondlake.session import Stage
+from diamondlake.session import Stage, tune
 from diamondlake.sources import artifacts, cache, landing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ CODES = "NYY,BOS,TB,TOR,OAK,CHW,ari ,SEA,MIL,XYZ"
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__] = lambda spark, folder: fn(tune(spark), folder)
     return fn
 
 
@@ -400,7 +400,24 @@ def elo_entering(spark, d):
 @query
 def elo_as_of(spark, d):
     g = B.games(spark, d).withColumn("start_time_utc", S.default_start("game_date"))
-    return rounded(ratings.elo_as_of(g, "2000-06-15 00:00:00", league="league"), 4)
+    return rounded(ratings.elo_as_of(g, "2000-06-15 00:00:00", league="league")
+                   .drop("season"), 4)
+
+
+@query
+def elo_by_season(spark, d):
+    """The same ratings with a season of a league as the largest task."""
+    return rounded(ratings.elo_by_season(B.games(spark, d), Stage(spark), "league"), 4)
+
+
+@query
+def elo_resumed(spark, d):
+    """Ratings of the later games from the rating table at the cut."""
+    g = B.games(spark, d).withColumn("start_time_utc", S.default_start("game_date"))
+    cut = f"{SPLIT_DAY} 00:00:00"
+    state = ratings.elo_as_of(g, cut, league="league")
+    later = g.where(F.col("start_time_utc") >= F.lit(cut).cast("timestamp_ntz"))
+    return rounded(ratings.elo_entering(later, "league", state), 4)
 
 
 @query

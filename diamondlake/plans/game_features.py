@@ -101,9 +101,14 @@ def build_game_features(pitches: DataFrame, stage: Stage | None = None,
     return assemble(games, team_frames, pitcher_frames)
 
 
-def enrich_games(games: DataFrame, league: str | None = None) -> DataFrame:
-    """Entering Elo, records, win rate and run difference for both sides."""
-    elo = ratings.elo_entering(games, league)
+def enrich_games(games: DataFrame, league: str | None = None,
+                 stage: Stage | None = None) -> DataFrame:
+    """Entering Elo, records, win rate and run difference for both sides.
+
+    With a stage the ratings are computed season by season.
+    """
+    elo = (ratings.elo_by_season(games, stage, league) if stage
+           else ratings.elo_entering(games, league))
     rec = ratings.sides_to_columns(ratings.records_entering(games), {
         "wins": "{side}_wins", "losses": "{side}_losses", "win_pct": "{side}_win_pct",
         "run_diff": "{side}_run_diff", "record": "{side}_record"})

@@ -7,9 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTINGS = {
+# a hot key may fill one join partition: split it even where that needs one more shuffle
+RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+SETTINGS = {
+    **RUNTIME,
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -30,6 +35,13 @@ def build_session(master: str | None = None, cores: int | None = None, **conf) -
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Set the join settings the plans count on in a session made elsewhere."""
+    for k, v in RUNTIME.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in `spark.checkpoint.dir`; a temporary one only for local masters."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -446,6 +446,9 @@ walk as (select league, cast(0 as bigint) as seq, cast(null as bigint) as game_p
 
 O["elo_entering"] = f"""with recursive {_elo()} select game_pk, {r("he", 4)} as home_elo,
  {r("ae", 4)} as away_elo from walk where game_pk is not null"""
+O["elo_by_season"] = O["elo_entering"]
+O["elo_resumed"] = O["elo_entering"] + f""" and game_pk in (select o_orderkey from orders
+ where o_orderdate >= timestamp '{SPLIT_DAY}')"""
 O["elo_as_of"] = f"""with recursive {_elo("o_orderdate < timestamp '2000-06-15'")},
 fin as (select * from walk where (league, seq) in (select (league, max(seq)) from g group by league)),
 played as (select distinct league, h as t from g where won is not null

@@ -5,6 +5,7 @@ import pytest
 
 from diamondlake.operators import ratings
 from diamondlake.operators.prior import day_of, hot_split
+from diamondlake.session import Stage
 
 SCHEMA = ("game_pk long, game_date date, home_team string, away_team string, home_win double, "
           "home_score int, away_score int")
@@ -66,6 +67,21 @@ def test_leagues_are_rated_apart(spark):
     assert len(whole) == 90
 
 
+def test_seasons_and_resumption_give_the_same_ratings(spark):
+    rng = random.Random(8)
+    rows = [((dt.date(2023, 4, 1) + dt.timedelta(days=5 * i)).isoformat(), f"t{rng.randrange(4)}",
+             f"u{rng.randrange(4)}", rng.choice([0, 1, None]), 1, 0) for i in range(200)]
+    g = games(spark, rows).selectExpr("*", "cast(game_date as timestamp_ntz) start_time_utc")
+    want = {r["game_pk"]: (r["home_elo"], r["away_elo"]) for r in
+            ratings.elo_entering(g).collect()}
+    by_season = ratings.elo_by_season(g, Stage(spark))
+    assert {r["game_pk"]: (r["home_elo"], r["away_elo"]) for r in by_season.collect()} == want
+    cut = dt.datetime(2024, 8, 1)
+    later = ratings.elo_entering(g.where(g.start_time_utc >= cut),
+                                 initial=ratings.elo_as_of(g, cut)).collect()
+    assert later and all(want[r["game_pk"]] == (r["home_elo"], r["away_elo"]) for r in later)
+
+
 def entering(spark, rows):
     return {(r["game_pk"], r["side"]): r for r in
             ratings.records_entering(games(spark, rows)).collect()}
