@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from diamondlake.session import Stage
+
 HOT_ROWS = 2_000_000          # rows of one key that a single window task may get
 BROADCAST_KEYS = 10_000       # more hot keys than this are joined by shuffle instead
 MAX_PIECES = 512              # ranges one hot key is cut into at most
@@ -75,7 +77,8 @@ def hot_split(rows: DataFrame, keys: Sequence[str], by: Column,
     hot = (rows.join(F.broadcast(wanted) if small else wanted, same, "left_semi")
            .groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, grid, 10_000))
                                .alias("cuts")))
-    return Split(hot, keys, by, small)
+    # several windows read it: written once, at most one row per hot key
+    return Split(Stage(rows.sparkSession).put("hot_keys", hot), keys, by, small)
 
 
 def day_of(col: str) -> Column:

@@ -59,8 +59,11 @@ def conform(df: DataFrame, types: dict[str, str] | None = None,
 
 
 def downcast(df: DataFrame, small_ints: Sequence[str] = ()) -> DataFrame:
-    """Narrow doubles to float and the named integers to short; values out of range become NULL-free
-    errors, so name only columns with known ranges. Strings need no category type in Parquet."""
+    """Narrow doubles to float and the named integers to short.
+
+    A value that does not fit raises, so name only columns with known ranges. Strings of few
+    values need no own type: Parquet stores them as a dictionary.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
