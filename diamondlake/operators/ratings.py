@@ -17,27 +17,6 @@ from diamondlake.session import Stage
 
 # --- Elo -------------------------------------------------------------------------------------------
 
-
-class _Ratings:
-    """Ratings of one league while its games stream by; memory grows with teams, not games."""
-
-    def __init__(self, k: float, advantage: float, start: float, revert: float):
-        self.k, self.advantage, self.start, self.revert = k, advantage, start, revert
-        self.elo: dict = {}
-        self.season = None
-
-    def play(self, season, home, away, home_win) -> tuple[float, float]:
-        if self.season is not None and season != self.season:
-            self.elo = {t: e + self.revert * (self.start - e) for t, e in self.elo.items()}
-        self.season = season
-        h, a = self.elo.get(home, self.start), self.elo.get(away, self.start)
-        if home_win == home_win and home_win is not None:  # undecided games change nothing
-            expected = 1.0 / (1.0 + 10 ** ((a - h - self.advantage) / 400))
-            self.elo[home] = h + self.k * (home_win - expected)
-            self.elo[away] = a + self.k * ((1 - home_win) - (1 - expected))
-        return h, a
-
-
 _FOLDED = ("kind string, league string, season int, game_pk {pk}, team string, "
            "home_elo double, away_elo double")
 
@@ -65,6 +44,26 @@ def _fold(games: DataFrame, league: str | None, initial: DataFrame | None, k: fl
             F.lit(True).alias("is_seed")))
     ordered = rows.repartition("league").sortWithinPartitions("league", "game_date", "game_pk")
 
+    class Ratings:
+        """Ratings of one league while its games stream by; memory grows with teams, not games.
+
+        Defined here so that it travels with the function: workers need no copy of the package.
+        """
+
+        def __init__(self):
+            self.elo, self.season = {}, None
+
+        def play(self, season, home, away, home_win):
+            if self.season is not None and season != self.season:
+                self.elo = {t: e + revert * (start - e) for t, e in self.elo.items()}
+            self.season = season
+            h, a = self.elo.get(home, start), self.elo.get(away, start)
+            if home_win == home_win and home_win is not None:  # undecided games change nothing
+                expected = 1.0 / (1.0 + 10 ** ((a - h - advantage) / 400))
+                self.elo[home] = h + k * (home_win - expected)
+                self.elo[away] = a + k * ((1 - home_win) - (1 - expected))
+            return h, a
+
     def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
 
@@ -83,7 +82,7 @@ def _fold(games: DataFrame, league: str | None, initial: DataFrame | None, k: fl
                 if state is None or lg != current:
                     if state is not None and state.elo:
                         yield final()
-                    current, state = lg, _Ratings(k, advantage, start, revert)
+                    current, state = lg, Ratings()
                 if seed:
                     state.elo[home], state.season = value, season
                 else:
