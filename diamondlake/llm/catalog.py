@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diamondlake.llm import exact_dedup, mixing, url_filter
+from diamondlake.llm import exact_dedup, mixing, quality, token_counts, url_filter
 from diamondlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,19 @@ def op1_mixing(spark, d):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op3_quality(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, d, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_token_counts(spark, d):
+    return token_counts.count_tokens(table(spark, d, "documents"))
+
+
 @query
 def op8_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"), digest_all=True)
