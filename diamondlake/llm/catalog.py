@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diamondlake.llm import exact_dedup, mixing, quality, token_counts, url_filter
+from diamondlake.llm import exact_dedup, mixing, near_dedup, quality, token_counts, url_filter
 from diamondlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,8 @@ def op8_exact_dedup(spark, d):
 @query
 def op9_url_filter(spark, d):
     return url_filter.filter_urls(table(spark, d, "pages"))
+
+
+@query
+def op10_near_dedup(spark, d):
+    return near_dedup.near_dedup(table(spark, d, "documents"))
