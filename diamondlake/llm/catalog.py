@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diamondlake.llm import exact_dedup, mixing, near_dedup, quality, token_counts, url_filter
+from diamondlake.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, token_counts, url_filter
 from diamondlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_mixing(spark, d):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op2_decontaminate(spark, d):
+    return decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query
 def op3_quality(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
