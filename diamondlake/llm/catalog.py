@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diamondlake.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, token_counts, url_filter
+from diamondlake.llm import (
+    decontaminate,
+    exact_dedup,
+    mixing,
+    near_dedup,
+    quality,
+    repeats,
+    token_counts,
+    url_filter,
+)
 from diamondlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +51,11 @@ def op4_token_counts(spark, d):
     return token_counts.count_tokens(table(spark, d, "documents"))
 
 
+@query
+def op5_repeats(spark, d):
+    return repeats.remove_repeats(table(spark, d, "documents"), keep_text=False).drop("kept")
+
+
 @query
 def op8_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"), digest_all=True)
