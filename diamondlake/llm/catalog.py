@@ -13,6 +13,7 @@ from diamondlake.llm import (
     near_dedup,
     quality,
     repeats,
+    substrings,
     token_counts,
     url_filter,
 )
@@ -56,6 +57,11 @@ def op5_repeats(spark, d):
     return repeats.remove_repeats(table(spark, d, "documents"), keep_text=False).drop("kept")
 
 
+@query
+def op6_substrings(spark, d):
+    return substrings.remove_substrings(table(spark, d, "documents"), keep_text=False).drop("kept")
+
+
 @query
 def op8_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"), digest_all=True)
