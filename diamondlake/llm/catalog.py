@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from diamondlake.llm import (
     decontaminate,
     exact_dedup,
+    main_text,
     mixing,
     near_dedup,
     quality,
@@ -62,6 +63,11 @@ def op6_substrings(spark, d):
     return substrings.remove_substrings(table(spark, d, "documents"), keep_text=False).drop("kept")
 
 
+@query
+def op7_main_text(spark, d):
+    return main_text.extract_main_text(table(spark, d, "pages"))
+
+
 @query
 def op8_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"), digest_all=True)

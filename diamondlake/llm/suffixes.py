@@ -16,7 +16,7 @@ import numpy as np
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Start positions in the order of their suffixes.
 
-    `text` has small non-negative integers (below 65,535). With `depth`, suffixes that agree on so
+    `text` has non-negative integers, best dense ones. With `depth`, suffixes that agree on so
     many symbols may come in any order. An empty text has an empty array.
     """
     if not len(text):
@@ -45,7 +45,8 @@ def _small(t: np.ndarray) -> np.ndarray:
 
 def _induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray, top: int) -> np.ndarray:
     """All suffixes induced from LMS suffixes, which come in the order wanted for each symbol."""
-    by_symbol = lms[np.argsort(t[lms].astype(np.uint16), kind="stable")]
+    narrow = np.uint16 if top < 1 << 16 else np.uint32      # 16 bits are sorted by radix
+    by_symbol = lms[np.argsort(t[lms].astype(narrow), kind="stable")]
     cuts = np.searchsorted(t[by_symbol], np.arange(top + 1))
     larger = [[] for _ in range(top)]
     larger_done = [None] * top
@@ -57,10 +58,10 @@ def _induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray, top: int) -> np.
         prev = prev[prev >= 0]
         prev = prev[(small[prev] == kind) & (t[prev] != symbol)]
         if len(prev):
-            symbols = t[prev].astype(np.uint16)
+            symbols = t[prev].astype(narrow)
             order = np.argsort(symbols, kind="stable")
             prev, symbols = prev[order], symbols[order]
-            edge = np.flatnonzero(np.diff(symbols)) + 1
+            edge = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
             for part, first in zip(np.split(prev, edge), np.append(0, edge)):
                 into[int(symbols[first])].append(part)
 
