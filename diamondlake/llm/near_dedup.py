@@ -6,8 +6,10 @@
   the first values of that order; it starts at the shallowest depth and a region of more than
   REGION members is cut by ever longer prefixes, so the depth adapts to how crowded the place is.
 * At every depth the members of a region are candidates with its smallest id; a confirmed link
-  to it settles most members. Inside the final regions only members that are still in different
-  components are paired, so a group of copies never becomes all pairs.
+  to it settles most members. Then the members that are still in different components meet: all of
+  a final region, and in a crowded one each with a member drawn by hash, at every depth and tree.
+  So a group of copies never becomes all pairs. Last, members of a crowded region outside its
+  largest component meet the whole region in blocks of REGION, so the depth loses no link.
 * Candidates whose signatures agree on less than LIKELY of the values, or whose set sizes rule the
   similarity out, are dropped; the others are confirmed on the shingle sets of the whole texts.
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diamondlake.llm import arrays
@@ -32,7 +34,7 @@ from diamondlake.session import Stage
 WORDS, PERCENT = 5, 75
 TREES, DEPTHS = 20, (3, 4, 6, 9, 14)
 VALUES = TREES * DEPTHS[0]
-REGION = 32
+REGION = 128
 LIKELY = 0.52
 SEED = 11
 
@@ -87,6 +89,36 @@ def _confirmed(words: int, percent: int):
     return rows
 
 
+def _buckets(spark: SparkSession) -> int:
+    """Groups of regions, a few for each shuffle partition."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _likely_pairs(percent: int):
+    """Pairs of a region in different components with like signatures, at least one of them asking."""
+    def pairs(rows):
+        rows = rows.sort_values(["region", "id"])
+        ids, labels = rows["id"].to_numpy(), rows["component"].to_numpy()
+        sizes = rows["n_shingles"].to_numpy()
+        asks = rows["asks"].to_numpy(dtype=bool)
+        signs = np.stack(rows["signature"].to_numpy())
+        regions = rows["region"].to_numpy()
+        cut = np.flatnonzero(np.append(True, regions[1:] != regions[:-1]))
+        out_a, out_b = [], []
+        for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(rows)).tolist()):
+            own = signs[lo:hi]
+            for k in range(lo, hi - 1):
+                rest = slice(k + 1, hi)
+                like = (own[k - lo + 1:] == own[k - lo]).sum(axis=1) >= int(LIKELY * VALUES)
+                like &= (labels[rest] != labels[k]) & (asks[rest] | asks[k])
+                like &= 100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k])
+                other = np.flatnonzero(like) + k + 1
+                out_a += [ids[k]] * len(other)
+                out_b += ids[other].tolist()
+        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)}).drop_duplicates()
+    return pairs
+
+
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
@@ -110,8 +142,9 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
         signed.select("high", "low", F.col("doc_id").alias("id"), "n_shingles", "signature"),
         ["high", "low", "id"]).dropDuplicates(["high", "low", "id"]))
 
-    leaders, regions = _forest(heads, stage)
-    wanted = stage.put("wanted", regions.select("id").union(leaders.select("a")).distinct())
+    leaders, drawn, regions, crowds = _forest(heads, stage)
+    wanted = stage.put("wanted", regions.select("id").union(leaders.select("a")).union(
+        leaders.select("b")).distinct())
     texts = stage.put("texts", rows.withColumnRenamed("doc_id", "id").join(
         wanted, "id", "left_semi").distinct())
 
@@ -134,12 +167,24 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
         "region", "id", F.coalesce("component", "id").alias("component")))
     mixed = members.groupBy("region").agg(
         F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("region")
-    open_ = members.join(mixed, "region")
-    other = open_.toDF("region", "b", "component_b")
-    pairs = open_.withColumnRenamed("id", "a").join(other, "region").filter(
-        "a < b and component <> component_b").select("a", "b")
+    signs = heads.select("id", "n_shingles", "signature")
+
+    def alike(met: DataFrame) -> DataFrame:
+        """Likely pairs of members of a region in different components, one of them flagged."""
+        bucket = F.pmod(F.xxhash64("region"), F.lit(_buckets(docs.sparkSession)))
+        return met.join(signs, "id").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
+            _likely_pairs(percent), "a long, b long")
+
+    inside = alike(members.join(mixed, "region").withColumn("asks", F.lit(True)))
+    labels = settled.withColumnRenamed("component", "of")
+    apart = drawn.join(labels.toDF("a", "of_a"), "a", "left").join(labels.toDF("b", "of_b"), "b", "left").filter(
+        F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    pairs = inside.union(apart)
     second = links("regions", pairs)
     linked = connected_components(first.union(second), stage, "all")
+    if not crowds.isEmpty():
+        third = links("crowds", alike(_outsiders(crowds, linked, stage)))
+        linked = connected_components(first.union(second).union(third), stage, "last")
 
     member = signed.select("doc_id", "n_shingles", "high", "low")
     named = groups.join(linked, "id", "left").select(
@@ -152,8 +197,9 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     return grouped.select(*columns).unionByName(single.select(*columns))
 
 
-def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) with the smallest id of a region, and the final (region, id)."""
+def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, ...]:
+    """Pairs (a, b) with the smallest id of a region and with one drawn in a crowded region, the
+    final (region, id), and the crowded ones of the first depth as (region, id, n)."""
     def keyed(rows: DataFrame, depth: int) -> DataFrame:
         """Rows of (tree, id, signature) with the key of their first `depth` values."""
         turned = F.concat(F.slice("signature", F.col("tree") * DEPTHS[0] + 1, VALUES),
@@ -163,15 +209,20 @@ def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
 
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = keyed(heads.select("id", "signature", trees), DEPTHS[0])
-    leaders, final = [], []
+    leaders, drawn, final, crowds = [], [], [], None
     for k, depth in enumerate(DEPTHS):
         sizes = rows.groupBy("region").agg(
-            F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
+            F.count("*").alias("n"), F.min("id").alias("leader"),
+            (F.min(F.col("id").bitwiseXOR(F.col("region")))).alias("drawn")).filter("n > 1").withColumn(
+            "drawn", F.col("drawn").bitwiseXOR(F.col("region")))    # an id, by the bits of the region
         met = stage.put(f"depth{depth}", rows.join(sizes, "region"))
         leaders.append(met.filter("id <> leader").select(
             F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
         final.append(met.filter(f"n <= {REGION}").select("region", "id"))
         crowded = met.filter(f"n > {REGION}")
+        crowds = crowds or crowded.select("region", "id", "n")
+        drawn.append(crowded.filter("id <> drawn").select(
+            F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")))
         if k + 1 == len(DEPTHS):
             # still crowded where signatures hardly differ: cut by id, the leader is met anyway
             final.append(crowded.select(F.xxhash64(
@@ -189,4 +240,25 @@ def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
         return out
 
     return (stage.put("leader-pairs", united(leaders).distinct()),
-            stage.put("regions", united(final)))
+            stage.put("drawn-pairs", united(drawn).distinct()),
+            stage.put("regions", united(final)), crowds)
+
+
+def _outsiders(crowds: DataFrame, linked: DataFrame, stage: Stage) -> DataFrame:
+    """(region, id, component, asks): blocks of crowded regions, with the members outside the
+    largest component of the region (asking) in every block."""
+    named = stage.put("crowd", crowds.join(linked, "id", "left").select(
+        "region", "id", F.coalesce("component", "id").alias("component"),
+        F.ceil(F.col("n") / REGION).cast("int").alias("blocks")))
+    sizes = named.groupBy("region", "component").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("region").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
+    placed = named.join(largest, "region")
+    block = lambda b: F.xxhash64("region", b).alias("region")
+    outside = placed.filter("component <> main")
+    asking = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        block("block"), "id", "component", F.lit(True).alias("asks"))
+    open_ = outside.select("region").distinct()
+    there = placed.join(open_, "region", "left_semi").select(
+        block(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "id", "component",
+        F.lit(False).alias("asks"))
+    return asking.union(there)
