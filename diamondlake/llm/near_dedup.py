@@ -49,7 +49,7 @@ def _signature_rows(words: int):
     factors, shifts = _permutations()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches, ["text"]):
             sets = arrays.shingle_sets(arrays.encoded(batch["text"]), words)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
@@ -69,6 +69,15 @@ def _signature_rows(words: int):
     return rows
 
 
+def _slices(batches: Iterator[pd.DataFrame], columns: list[str],
+            most: int = 2 << 20) -> Iterator[pd.DataFrame]:
+    """The batches in slices of about `most` characters, which bounds the arrays made of them."""
+    for batch in batches:
+        part = sum(batch[c].str.len() for c in columns).cumsum() // most
+        for _, rows in batch.groupby(part, sort=False):
+            yield rows.reset_index(drop=True)
+
+
 def _parts(full: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
     """The documents in parts of about `most` shingles."""
     if len(full):
@@ -78,7 +87,7 @@ def _parts(full: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> Iterator
 
 def _confirmed(words: int, percent: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches, ["text_a", "text_b"]):
             texts = arrays.encoded(batch["text_a"]) + arrays.encoded(batch["text_b"])
             sets, n = arrays.shingle_sets(texts, words), len(batch)
             ok = np.zeros(n, bool)
