@@ -170,7 +170,12 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
         return stage.put(f"{name}-links", met.select("a", "b", "text_a", "text_b").mapInPandas(
             _confirmed(words, percent), "a long, b long").distinct())
 
-    first = links("leaders", leaders)
+    # sets that repeated rows of one id hold are linked by that id
+    held = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "high", "low").join(
+        groups, ["high", "low"]).select("doc_id", "id")
+    twice = held.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
+    same_id = twice.join(held, "doc_id").select("a", F.col("id").alias("b")).filter("a <> b")
+    first = links("leaders", leaders).union(stage.put("same-id", same_id))
     settled = connected_components(first, stage, "first")
     members = stage.put("members", regions.join(settled, "id", "left").select(
         "region", "id", F.coalesce("component", "id").alias("component")))

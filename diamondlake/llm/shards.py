@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from diamondlake.llm.common import text_of
 
-SHARD_BYTES = 10 << 20
+SHARD_BYTES = 6 << 20
 DOCUMENTS = "shard int, id long, has_id boolean, text string"
 PACKED = "bucket int, shard int, n long, data binary"
 
