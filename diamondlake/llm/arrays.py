@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)        # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -46,7 +46,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each span; equal spans have equal hashes."""
+    """A hash of values[start:end] for each span; equal spans have equal hashes.
+
+    Starts ascend. Long buffers are hashed in parts, which bounds the sums held at a time.
+    """
+    if len(values) > 2 * PIECE and len(starts):
+        out = np.empty(len(starts), np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, len(values) + PIECE, PIECE))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi > lo:
+                first = int(starts[lo])
+                out[lo:hi] = _span_hashes(values[first:int(ends[lo:hi].max())],
+                                          starts[lo:hi] - first, ends[lo:hi] - first)
+        return out
+    return _span_hashes(values, starts, ends)
+
+
+def _span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(values)), out=sums[1:])
     lengths = (ends - starts).astype(np.uint64)
