@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from diamondlake.functions import scalars as S
+from diamondlake.session import Stage
 
 _COARSE = 64     # ranges between approximate quantiles
 _FINE = 64       # equal parts of each of them
@@ -39,7 +39,8 @@ def with_rank(values: DataFrame, key: str = "feature", value: str = "value") ->
     ranged = (counted.join(F.broadcast(cuts), key).withColumn("_at", at)
               .withColumns({"_lo": F.get("_cuts", F.col("_at") - 1), "_hi": F.get("_cuts", "_at")})
               .withColumn("_part", F.greatest(F.lit(0), F.least(F.lit(_FINE - 1), F.floor(
-                  F.coalesce(S.ratio((v - F.col("_lo")) * _FINE, F.col("_hi") - F.col("_lo")),
+                  F.coalesce(S.ratio((v.cast("double") - F.col("_lo")) * _FINE,
+                                     F.col("_hi").cast("double") - F.col("_lo")),
                              F.lit(0.0))))))
               .select(key, value, "_c", "_n", (F.col("_at") * _FINE + F.col("_part"))
                       .cast("int").alias("_range")))
@@ -169,8 +170,9 @@ def newest_rows(games: DataFrame, size: int, day: str = "game_date",
                 tie: str = "game_pk") -> DataFrame:
     """The `size` newest rows by (day, tie), however large `size` is.
 
-    Counts per date tell which dates are taken whole. In the date that is cut, a counted rank
-    finds the smallest tie value to keep, so nothing is sorted as a whole.
+    Counts per date tell which dates are taken whole. In the date that is cut, ids are ranked in
+    their own order: they are dealt by ranges and the counts of later ranges precede, so no task
+    sorts the whole date. Numbers and strings are treated alike; of equal ids any stay.
     """
     counts = games.groupBy(F.col(day).alias("_day")).agg(F.count(F.lit(1)).alias("_n_day"))
     newer = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
@@ -178,19 +180,17 @@ def newest_rows(games: DataFrame, size: int, day: str = "game_date",
         F.lit(size) - F.coalesce(F.sum("_n_day").over(newer), F.lit(0))).alias("_room"))
     budget = budget.where(F.col("_room") > 0)  # one row per calendar date
     marked = games.join(F.broadcast(budget), F.col(day) == F.col("_day"))
-    kind = games.schema[tie].dataType
-    order = F.col(tie) if isinstance(kind, T.NumericType) else F.xxhash64(tie)
-    partly = marked.where(F.col("_n_day") > F.col("_room")).select(
-        "_day", "_room", order.alias("_tie"))
-    ranked = with_rank(partly.select(F.lit("cut").alias("feature"), F.col("_tie").alias("value")))
-    room = partly.agg(F.max("_room").alias("_room")).withColumn("feature", F.lit("cut"))
-    least = (ranked.join(F.broadcast(room), "feature")
-             .agg(F.min(F.when(F.col("_upto") > F.col("_n") - F.col("_room"), F.col("value")))
-                  .alias("_least"), F.lit(1).alias("_k_one")))
-    return (marked.withColumn("_one", F.lit(1))
-            .join(F.broadcast(least), F.col("_one") == F.col("_k_one"), "left")
-            .where((F.col("_n_day") <= F.col("_room")) | (order >= F.col("_least")))
-            .select(*games.columns))
+    whole = marked.where(F.col("_n_day") <= F.col("_room"))
+    partly = marked.where(F.col("_n_day") > F.col("_room"))
+    dealt = Stage(games.sparkSession).put("cut_date", partly.repartitionByRange(
+        F.col(tie).desc_nulls_last()).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select(
+        "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))  # one row a range
+    inside = Window.partitionBy("_part").orderBy(F.col(tie).desc_nulls_last())
+    kept = (dealt.withColumn("_k", F.row_number().over(inside)).join(F.broadcast(offsets), "_part")
+            .where(F.col("_k") + F.col("_before") <= F.col("_room")))
+    return whole.select(*games.columns).unionByName(kept.select(*games.columns))
 
 
 def drift_windows(games: DataFrame, target_date, days: int = 7, ratio: int = 3,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from diamondlake import constants as K
 from diamondlake.functions import scalars as S
 from diamondlake.operators import drift, folds, metrics
+from diamondlake.session import Stage
 
 _LOADERS = {"boosted_a": GBTClassificationModel, "boosted_b": GBTClassificationModel,
             "logistic": LogisticRegressionModel}
@@ -100,7 +101,7 @@ def _boosted(name: str, s: Settings) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="_tree", labelCol="_label", maxIter=s.rounds, maxDepth=s.depth,
         stepSize=s.rate, subsamplingRate=s.subsample, seed=s.seed + (name == "boosted_b"),
-        featureSubsetStrategy="0.8" if name == "boosted_a" else "0.5")
+        featureSubsetStrategy="0.8")
 
 
 def fit(train: DataFrame, features: Sequence[str], settings: Settings | None = None,
@@ -161,15 +162,19 @@ def walk_forward(games: DataFrame, features: Sequence[str], settings: Settings |
                  min_train: int = 10, min_val: int = 5, **fold_options) -> DataFrame | None:
     """Out-of-fold rows with `p_<member>`, the blend and `fold_idx`; None without usable folds.
 
-    The driver loops over fold boundaries only; training sets are date filters.
+    The driver loops over fold boundaries only; training sets are date filters of the games, which
+    are written once. Each fold's rows are written as well.
     """
+    stage = Stage(games.sparkSession)
+    games = stage.put("games", games)
     parts = []
     for f in folds.fold_table(games, **fold_options).orderBy("fold_idx").collect():
         if f["n_train"] < min_train or f["n_val"] < min_val:
             continue
         ens = fit(folds.training_rows(games, f["val_start"]), features, settings)
         val = folds.validation_rows(games, f["val_start"], f["val_end"])
-        parts.append(member_probabilities(ens, val).withColumn("fold_idx", F.lit(f["fold_idx"])))
+        scored = member_probabilities(ens, val).withColumn("fold_idx", F.lit(f["fold_idx"]))
+        parts.append(stage.put(f"fold_{f['fold_idx']}", scored))
     return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
 
@@ -231,14 +236,18 @@ def totals_head(train: DataFrame, val: DataFrame, features: Sequence[str],
                 settings: Settings | None = None, label: str = "total_runs"):
     """(predictions, error row): mean of two boosted regressors of the run total."""
     s = settings or Settings(rounds=200, depth=4)
+    train = train.where(F.col(label).isNotNull())
     ens = input_stats(train, features)
-    data = vectors(train.where(F.col(label).isNotNull()), ens).withColumn(
-        "_label", F.col(label).cast("double"))
+    data = vectors(train, ens).select(
+        "_tree", F.col(label).cast("double").alias("_label")).persist()
     out, cols = vectors(val, ens), []
-    for name in ("boosted_a", "boosted_b"):
-        out = (_regressor(name, s).fit(data).transform(out)
-               .withColumnRenamed("prediction", f"_{name}"))
-        cols.append(F.col(f"_{name}"))
+    try:
+        for name in ("boosted_a", "boosted_b"):
+            out = (_regressor(name, s).fit(data).transform(out)
+                   .withColumnRenamed("prediction", f"_{name}"))
+            cols.append(F.col(f"_{name}"))
+    finally:
+        data.unpersist()
     out = (out.withColumn("total_runs_model", (cols[0] + cols[1]) / 2)
            .drop("_boosted_a", "_boosted_b", "_linear", "_tree"))
     return out, metrics.regression_errors(out, label, "total_runs_model")

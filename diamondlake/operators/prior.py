@@ -15,12 +15,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diamondlake.session import Stage
 
 HOT_ROWS = 2_000_000          # rows of one key that a single window task may get
 BROADCAST_KEYS = 10_000       # more hot keys than this are joined by shuffle instead
-MAX_PIECES = 512              # ranges one hot key is cut into at most
 _SLICE = "_slice"
 
 
@@ -69,13 +69,13 @@ def hot_split(rows: DataFrame, keys: Sequence[str], by: Column,
     n, largest = counts.agg(F.count(F.lit(1)), F.max("count")).first()
     if not n:
         return None
-    pieces = min(max(2, -(-largest // limit)), MAX_PIECES)
+    pieces = max(2, -(-largest // limit))
     grid = [i / pieces for i in range(1, pieces)]
     wanted = counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
     small = n <= BROADCAST_KEYS
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     hot = (rows.join(F.broadcast(wanted) if small else wanted, same, "left_semi")
-           .groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, grid, 10_000))
+           .groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, grid, max(10_000, 4 * pieces)))
                                .alias("cuts")))
     # several windows read it: written once, at most one row per hot key
     return Split(Stage(rows.sparkSession).put("hot_keys", hot), keys, by, small)
@@ -143,25 +143,39 @@ def rolling_prior_mean(df: DataFrame, key: str, value: str, order: Sequence[str]
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             sums: dict[str, str], split: Split | None = None) -> DataFrame:
-    """Add sums ({name: column}) over all earlier rows of the key; NULL before the first value."""
+    """Add sums ({name: column}) over all earlier rows of the key; NULL before the first value.
+
+    Doubles are summed as decimals of nine places, so a sum does not depend on where it is split.
+    """
     keys, order = list(keys), list(order)
     columns = df.columns
+    doubles = [n for n, c in sums.items() if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    if doubles:
+        exact = {f"_x_{n}": F.col(sums[n]).cast("decimal(28,9)") for n in doubles}
+        out = running(df.withColumns(exact), keys, order,
+                      {n: f"_x_{n}" if n in doubles else c for n, c in sums.items()}, split)
+        return out.withColumns({n: F.col(n).cast("double") for n in doubles}).drop(*exact)
+
+    exact = {c for c in sums.values() if isinstance(df.schema[c].dataType, T.DecimalType)}
+
+    def kept(total: Column, c: str) -> Column:      # sums of sums must not lose places
+        return total.cast("decimal(30,9)") if c in exact else total
 
     def with_windows(frame: DataFrame, part: list[str]) -> DataFrame:
         w = (Window.partitionBy(*part).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, -1))
-        return frame.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
+        return frame.withColumns({n: kept(F.sum(c).over(w), c) for n, c in sums.items()})
 
     if split is None:
         return with_windows(df, keys)
 
     sliced = split.assign(df)
     totals = (sliced.where(F.col(_SLICE).isNotNull()).groupBy(*keys, _SLICE)
-              .agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]))
+              .agg(*[kept(F.sum(c), c).alias(f"_t_{n}") for n, c in sums.items()]))
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     brought = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_SLICE).alias("_k_slice"),
-        *[F.sum(f"_t_{n}").over(earlier).alias(f"_b_{n}") for n in sums])
+        *[kept(F.sum(f"_t_{n}").over(earlier), c).alias(f"_b_{n}") for n, c in sums.items()])
     same = reduce(lambda a, b: a & b,
                   [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
                   + [F.col(_SLICE) == F.col("_k_slice")])

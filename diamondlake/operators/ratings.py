@@ -21,18 +21,20 @@ _FOLDED = ("kind string, league string, season int, game_pk {pk}, team string, "
            "home_elo double, away_elo double")
 
 
-def _fold(games: DataFrame, league: str | None, initial: DataFrame | None, k: float,
+def _fold(games: DataFrame, league: str, initial: DataFrame | None, k: float,
           advantage: float, start: float, revert: float) -> DataFrame:
     """Play each league's games in order; rows of kind 'game' (ratings entering it) and, at the
     end, of kind 'state' (rating of each team).
 
     A rating depends on every earlier game of its league, so a league is one ordered stream of
     narrow rows (external sort, spills to disk) that arrives in Arrow batches and is never
-    gathered; leagues run in parallel. Rows of `initial` precede the games and set the state.
+    gathered; leagues run in parallel. `league` names the column that says who can meet whom, so a
+    group is as large as one competition, however many there are. Rows of `initial` precede the
+    games and set the state.
     """
     pk = games.schema["game_pk"].dataType.simpleString()
     rows = games.select(
-        (F.col(league) if league else F.lit("all")).cast("string").alias("league"),
+        F.col(league).cast("string").alias("league"),
         F.year("game_date").alias("season"), "game_date", "game_pk",
         "home_team", "away_team", F.col("home_win").cast("double").alias("value"),
         F.lit(False).alias("is_seed"))
@@ -108,7 +110,7 @@ def _state(folded: DataFrame) -> DataFrame:
                                                  F.col("home_elo").alias("elo"))
 
 
-def elo_entering(games: DataFrame, league: str | None = None, initial: DataFrame | None = None,
+def elo_entering(games: DataFrame, league: str = "league", initial: DataFrame | None = None,
                  k: float = K.ELO_K, advantage: float = K.ELO_HOME_ADVANTAGE,
                  start: float = K.ELO_START, revert: float = K.ELO_REVERT) -> DataFrame:
     """(game_pk, home_elo, away_elo) as both teams enter the game.
@@ -119,7 +121,7 @@ def elo_entering(games: DataFrame, league: str | None = None, initial: DataFrame
 
 
 def elo_as_of(games: DataFrame, as_of, time_col: str = "start_time_utc",
-              league: str | None = None, initial: DataFrame | None = None, k: float = K.ELO_K,
+              league: str = "league", initial: DataFrame | None = None, k: float = K.ELO_K,
               advantage: float = K.ELO_HOME_ADVANTAGE, start: float = K.ELO_START,
               revert: float = K.ELO_REVERT) -> DataFrame:
     """(league, season, team, elo) after all games that start before `as_of`."""
@@ -127,19 +129,21 @@ def elo_as_of(games: DataFrame, as_of, time_col: str = "start_time_utc",
                         start, revert))
 
 
-def elo_by_season(games: DataFrame, stage: Stage, league: str | None = None,
+def elo_by_season(games: DataFrame, stage: Stage, league: str = "league",
                   k: float = K.ELO_K, advantage: float = K.ELO_HOME_ADVANTAGE,
                   start: float = K.ELO_START, revert: float = K.ELO_REVERT) -> DataFrame:
     """`elo_entering`, one season at a time.
 
     No task gets more than one season of a league. Each season is written with the ratings it ends
-    on, which the next one starts from, so a lost executor costs at most one season.
+    on, which the next one starts from, so a lost executor costs at most one season. Games without
+    a date come first, as in `elo_entering`.
     """
-    years = sorted(r[0] for r in games.select(F.year("game_date")).distinct().collect()
-                   if r[0] is not None)  # one number per calendar year
+    found = [r[0] for r in games.select(F.year("game_date")).distinct().collect()]
+    years = sorted(found, key=lambda y: (y is not None, y))  # one number per calendar year
     parts, state = [], None
     for y in years:
-        season = games.where(F.col("game_date").between(
+        day = F.col("game_date")
+        season = games.where(day.isNull() if y is None else day.between(
             F.lit(f"{y}-01-01").cast("date"), F.lit(f"{y}-12-31").cast("date")))
         folded = stage.put(f"elo_{y}", _fold(season, league, state, k, advantage, start, revert))
         parts.append(_entering(folded))

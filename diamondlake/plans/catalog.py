@@ -24,6 +24,8 @@ QUERIES: dict[str, Query] = {}
 
 SPLIT_DAY = "1998-07-01"      # cut between "before" and "after" in the bindings
 SLATE_DAY = "2000-06-15"
+AFTER_LAST = "2001-08-05"     # a few days after the last game
+DRIFT_DAY = "1999-09-09"
 CODES = "NYY,BOS,TB,TOR,OAK,CHW,ari ,SEA,MIL,XYZ"
 
 
@@ -88,13 +90,13 @@ def downcast_numbers(spark, d):
 
 _LINE_KEY = ["l_orderkey", "l_linenumber"]
 _LINE_TIE = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
-             "l_tax"]
+             "l_tax", "l_returnflag", "l_linestatus"]
 
 
 def _line_parts(spark, d):
-    lines = B.table(spark, d, "lineitem").drop("l_returnflag", "l_linestatus")
-    cut = F.lit(SPLIT_DAY).cast("date")
-    return lines.where(F.col("l_shipdate") < cut), lines.where(F.col("l_shipdate") >= cut)
+    lines = B.table(spark, d, "lineitem")
+    early = F.coalesce(F.col("l_shipdate") < F.lit(SPLIT_DAY).cast("date"), F.lit(False))
+    return lines.where(early), lines.where(~early)
 
 
 @query
@@ -109,6 +111,15 @@ def upsert_back_fill(spark, d):
     return cache.upsert(cached, head, False, _LINE_KEY, _LINE_TIE)
 
 
+@query
+def cache_saved(spark, d):
+    """Both parts saved one after the other and read back; an order's lines share a partition."""
+    old, new = _line_parts(spark, d)
+    path, part = Stage(spark).folder + "/cache", F.pmod(F.col("l_orderkey"), F.lit(12))
+    cache.save(spark, path, old, part, True, _LINE_KEY, _LINE_TIE)
+    return cache.save(spark, path, new, part, True, _LINE_KEY, _LINE_TIE)
+
+
 @query
 def dedupe_first_load(spark, d):
     old, new = _line_parts(spark, d)
@@ -137,7 +148,7 @@ def scoreboard_games(spark, d):
         F.concat(F.date_format("game_date", "yyyy-MM-dd"), F.lit("T23:05Z")).alias("date"),
         F.array(F.struct(F.array(side("away", shown_away), side("home", shown))
                          .alias("competitors"))).alias("competitions"))
-    text = g.groupBy("game_date", "home_team").agg(F.collect_list(event).alias("events")).select(
+    text = g.groupBy("game_date", "league").agg(F.collect_list(event).alias("events")).select(
         F.to_json(F.struct("events")).alias("doc"))
     documents = text.select(F.from_json("doc", landing.SCOREBOARD).alias("j")).select("j.*")
     out = landing.parse_scoreboard(documents)
@@ -148,8 +159,7 @@ def scoreboard_games(spark, d):
 
 @query
 def schedule_walk_back(spark, d):
-    decided = B.games(spark, d).where("dayofmonth(game_date) < 10")
-    return landing.schedule_on_or_before(decided, "1999-03-14").select("game_pk", "game_date")
+    return landing.schedule_on_or_before(B.games(spark, d), AFTER_LAST).select("game_pk", "game_date")
 
 
 @query
@@ -382,12 +392,13 @@ def game_features(spark, d):
 
 @query
 def pitch_features(spark, d):
-    p = B.pitches(spark, d)
-    out = G.build_pitch_features(p, A.game_results(p))
-    return out.select(*K.PITCH_KEY, "bases_loaded", "runners_in_scoring_position", "is_risp",
-                      "score_diff", "batting_team", "ab_pitch_count", "times_through_order",
-                      "lr_matchup", "exit_velocity", "launch_angle_f", "pitch_category",
-                      "home_win", "total_runs", "venue")
+    stage = Stage(spark)
+    p = stage.put("pitches", B.pitches(spark, d))
+    out = G.build_pitch_features(p, G.build_game_features(p, stage))
+    return rounded(out.select(
+        *K.PITCH_KEY, "bases_loaded", "runners_in_scoring_position", "is_risp", "score_diff",
+        "batting_team", "ab_pitch_count", "times_through_order", "lr_matchup", "exit_velocity",
+        "launch_angle_f", "pitch_category", *G.PITCH_ROW_FEATURES), 5)
 
 
 # --- ratings and records ----------------------------------------------------------------------------
@@ -468,9 +479,9 @@ def top_teams(spark, d):
 
 # --- slate ------------------------------------------------------------------------------------------
 
-def _history(spark, d):
-    """Games before the slate day with two side features and starters."""
-    return B.games(spark, d).where(F.col("game_date") < F.lit(SLATE_DAY).cast("date")).selectExpr(
+def _all_history(spark, d):
+    """Games with two side features and starters."""
+    return B.games(spark, d).selectExpr(
         "*", "case when game_pk % 3 = 0 then o_totalprice end as woba_30g_home",
         "case when game_pk % 4 = 0 then o_totalprice / 2 end as woba_30g_away",
         "case when game_pk % 5 = 0 then o_totalprice / 4 end as sp_era_home",
@@ -479,6 +490,11 @@ def _history(spark, d):
         "case when game_pk % 6 = 0 then prob / 2 end as opp_lefty_share_away")
 
 
+def _history(spark, d):
+    """The games before the slate day."""
+    return _all_history(spark, d).where(F.col("game_date") < F.lit(SLATE_DAY).cast("date"))
+
+
 @query
 def team_state(spark, d):
     return slate.team_state(_history(spark, d))
@@ -507,7 +523,8 @@ def upcoming_slate(spark, d):
                 .withColumn("sp_name_home", F.concat(F.lit("First  Last"), "home_starter_id"))
                 .withColumn("sp_name_away", F.concat(F.lit("First Last"), "away_starter_id"))
                 .drop("home_win", "home_score", "away_score"))
-    history = _history(spark, d)
+    # the history goes on past the day, the slate must not see it; one league here
+    history = _all_history(spark, d).drop("league").withColumn("league", F.lit("L"))
     out = slate.build_upcoming_slate(history, SLATE_DAY, schedule,
                                      slate.name_crosswalk(B.pitches(spark, d)))
     return rounded(out.select(
@@ -617,7 +634,7 @@ def market_edges(spark, d):
 
 @query
 def american_lines(spark, d):
-    g = B.games(spark, d).where("prob > 0")
+    g = B.games(spark, d)
     line = S.probability_to_american("prob")
     return rounded(g.select("game_pk", line.alias("line"),
                             S.american_to_probability(line).alias("back")))
@@ -665,14 +682,14 @@ def fold_of_game(spark, d):
 
 # --- drift ------------------------------------------------------------------------------------------
 
-def _years(spark, d):
-    measures = B.table(spark, d, "lineitem").select(
-        F.year("l_shipdate").alias("y"), "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        F.expr("case when l_partkey % 4 > 0 then cast(l_suppkey as double) end").alias("supp"))
-    return measures.where("y = 1999").drop("y"), measures.where("y = 2000").drop("y")
+def _windows(spark, d):
+    """The drift windows of all games, with five measures."""
+    games = B.games(spark, d).withColumn("starter", F.expr(
+        "case when game_pk % 4 > 0 then cast(home_starter_id as double) end"))
+    return drift.drift_windows(games, DRIFT_DAY)
 
 
-_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "supp"]
+_MEASURES = ["o_totalprice", "prob", "home_score", "away_score", "starter"]
 
 
 @query
@@ -693,7 +710,7 @@ def column_medians(spark, d):
 
 @query
 def population_stability(spark, d):
-    base, cur = _years(spark, d)
+    base, cur = _windows(spark, d)
     values = (drift.long_form(base.withColumn("is_current", F.lit(False)), _MEASURES, "is_current")
               .unionByName(drift.long_form(cur.withColumn("is_current", F.lit(True)), _MEASURES,
                                            "is_current")))
@@ -702,17 +719,25 @@ def population_stability(spark, d):
 
 @query
 def feature_drift(spark, d):
-    base, cur = _years(spark, d)
+    base, cur = _windows(spark, d)
     return drift.feature_drift(base, cur, _MEASURES)
 
 
 @query
 def drift_baseline(spark, d):
-    base, cur = drift.drift_windows(B.games(spark, d), "1999-09-09")
+    base, cur = drift.drift_windows(B.games(spark, d), DRIFT_DAY)
     return (base.select("game_pk", F.lit("baseline").alias("part"))
             .unionByName(cur.select("game_pk", F.lit("current").alias("part"))))
 
 
+@query
+def drift_baseline_of_names(spark, d):
+    """The baseline where the id is text, ranked in the order of the text."""
+    named = B.games(spark, d).withColumn("game_pk", F.concat(F.lit("g"), "game_pk"))
+    base, _ = drift.drift_windows(named, DRIFT_DAY)
+    return base.select("game_pk")
+
+
 @query
 def drift_flags(spark, d):
     out = drift.drift_summary(feature_drift(spark, d))
@@ -746,16 +771,15 @@ def walk_forward_predictions(spark, d):
 
 @query
 def member_roster(spark, d):
-    oof = models.walk_forward(_model_games(spark, d), MODEL_FEATURES,
-                              models.Settings(members=("logistic",)), cadence=800)
-    return models.roster(oof, ["logistic"])
+    oof = models.walk_forward(_model_games(spark, d), MODEL_FEATURES, _QUICK, cadence=800)
+    return models.roster(oof, list(K.MEMBER_WEIGHTS))
 
 
 @query
 def linear_attributions(spark, d):
     g = _model_games(spark, d)
     ens = models.fit(g, MODEL_FEATURES, models.Settings(members=("logistic",)))
-    return models.attributions(ens, g, "game_pk", top=3)
+    return models.attributions(ens, g, "game_pk")
 
 
 @query
@@ -794,7 +818,7 @@ def calibration_view(spark, d):
 @query
 def monitor_record(spark, d):
     oof = B.scored(spark, d).withColumn("home_win_prob_model", F.col("prob"))
-    base, cur = _years(spark, d)
+    base, cur = _windows(spark, d)
     out = reports.monitor_record(
         rounded(metrics.binary_metrics(oof, digits=None)), drift.feature_drift(base, cur, _MEASURES),
         metrics.rolling_brier(oof), "20000615", "v1", "2000-06-15")

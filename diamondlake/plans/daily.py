@@ -25,8 +25,9 @@ def attach_lines(games: DataFrame, lines: DataFrame | None) -> DataFrame:
         return games
     have = [c for c in LINE_COLUMNS if c in lines.columns]
     kept = games.drop(*have)
+    lines = lines.withColumn("_tie", F.xxhash64(*have))     # of one instant always the same line
     return prior.asof_attach(kept, lines, "game_id", "start_time_utc", "line_posted_at", have,
-                             {"juice": K.DEFAULT_JUICE} if "juice" in have else None)
+                             {"juice": K.DEFAULT_JUICE} if "juice" in have else None, "_tie")
 
 
 def target_games(games: DataFrame, day: date, schedule: DataFrame | None,
@@ -106,7 +107,7 @@ def run_daily(games: DataFrame, day: date, out: str, now: datetime,
                                  wrote("calibration"), run)
             artifacts.write_csv(metrics.prediction_history(oof), wrote("predictions_history"), run)
         if "logistic" in ens.models:
-            artifacts.write_csv(models.attributions(ens, today), wrote("attributions"), run)
+            artifacts.write_csv(models.attributions(ens, today), wrote("attributions"), run, ["game_id"])
 
         # --- drift and monitor
         base, cur = drift.drift_windows(games, day)

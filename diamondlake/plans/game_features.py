@@ -101,15 +101,16 @@ def build_game_features(pitches: DataFrame, stage: Stage | None = None,
     return assemble(games, team_frames, pitcher_frames)
 
 
-def enrich_games(games: DataFrame, league: str | None = None,
-                 stage: Stage | None = None) -> DataFrame:
+def enrich_games(games: DataFrame, league: str = "league", stage: Stage | None = None,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Entering Elo, records, win rate and run difference for both sides.
 
     With a stage the ratings are computed season by season.
     """
     elo = (ratings.elo_by_season(games, stage, league) if stage
            else ratings.elo_entering(games, league))
-    rec = ratings.sides_to_columns(ratings.records_entering(games), {
+    split = hot_split(A.team_games(games, "season"), ["team", "season"], day_of("game_date"), hot_rows)
+    rec = ratings.sides_to_columns(ratings.records_entering(games, split), {
         "wins": "{side}_wins", "losses": "{side}_losses", "win_pct": "{side}_win_pct",
         "run_diff": "{side}_run_diff", "record": "{side}_record"})
     return games.join(elo, "game_pk", "left").join(rec, "game_pk", "left")

@@ -70,10 +70,11 @@ def name_crosswalk(pitches: DataFrame, order=("game_date", "game_pk", "pitcher")
 
 
 def build_upcoming_slate(history: DataFrame, day: date, schedule: DataFrame,
-                         crosswalk: DataFrame | None = None, league: str | None = None,
+                         crosswalk: DataFrame | None = None, league: str = "league",
                          zero_for_no_games: bool = False) -> DataFrame:
     """One row per scheduled game with every model feature; unknown ones are NULL.
 
+    Only games before `day` are read from the history, whatever it holds.
     Results already in the schedule are kept. Rest days are fresh, the rest is the latest state.
     """
     if "start_time_utc" not in history.columns:
@@ -82,6 +83,7 @@ def build_upcoming_slate(history: DataFrame, day: date, schedule: DataFrame,
     if "game_pk" not in history.columns:
         history = history.withColumn("game_pk", F.col("game_id"))
     d = F.lit(day).cast("date")
+    history = history.where(F.col("game_date") < d)
     elo = (ratings.elo_as_of(history, d.cast("timestamp_ntz"), league=league)
            .select("team", "elo"))
     teams = (team_state(history)

@@ -31,7 +31,9 @@ def write_csv(df: DataFrame, path: str, run_date: str, by: Sequence[str] = ()) -
 
 
 def write_slate(df: DataFrame, path: str, run_date: str) -> None:
-    write_csv(existing(df, K.SLATE_COLUMNS), path, run_date)
+    """The games of a day, a few rows, in one file ordered by start time."""
+    order = [c for c in ("start_time_utc", "game_id") if c in df.columns]
+    write_csv(existing(df.coalesce(1).sortWithinPartitions(*order), K.SLATE_COLUMNS), path, run_date)
 
 
 def write_json(df: DataFrame, path: str, run_date: str) -> None:
@@ -62,8 +64,8 @@ def pick_run(dates: DataFrame, wanted: str | None) -> DataFrame:
 
 
 def read_run(spark: SparkSession, path: str, run_date: str | date, schema: str) -> DataFrame:
-    """Rows of one run; the date is a partition filter."""
-    return (spark.read.option("header", True).schema(schema + ", run_date string").csv(path)
+    """Rows of one run; the date is a partition filter. Headers must name the schema's columns."""
+    return (spark.read.option("header", True).option("enforceSchema", False).schema(schema + ", run_date string").csv(path)
             .where(F.col("run_date") == str(run_date)))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diamondlake import constants as K
+from diamondlake.session import Stage
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence, keep: str = "last") -> DataFrame:
@@ -25,12 +27,44 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence, keep: str = "las
 def upsert(existing: DataFrame, increment: DataFrame, existing_first: bool = True,
            keys: Sequence[str] = tuple(K.PITCH_KEY), tie_break: Sequence[str] = ()) -> DataFrame:
     """Merge by key. With `existing_first` the increment wins (top-up), else the existing rows win
-    (back-fill)."""
+    (back-fill).
+
+    Within one side the largest `tie_break`, a load sequence, wins; without one all other columns
+    in their order decide, so the winner never depends on how the rows were read.
+    """
     old, new = (0, 1) if existing_first else (1, 0)
     both = (existing.withColumn("_source", F.lit(old))
             .unionByName(increment.withColumn("_source", F.lit(new)), allowMissingColumns=True))
     keys = [k for k in keys if k in both.columns]
-    return dedupe(both, keys, ["_source", *tie_break], "last").drop("_source")
+    order = list(tie_break) or [c for c in both.columns if c not in keys and c != "_source"]
+    return dedupe(both, keys, ["_source", *order], "last").drop("_source")
+
+
+def save(spark: SparkSession, path: str, increment: DataFrame, part: Column,
+         existing_first: bool = True, keys: Sequence[str] = tuple(K.PITCH_KEY),
+         tie_break: Sequence[str] = ()) -> DataFrame:
+    """Merge the increment into the table at `path` and return the table.
+
+    The table is partitioned by `part`, a value that a key has once (for pitches the month of the
+    game). Only partitions that the increment touches are read, merged and replaced. The merged
+    rows are written to the stage first and swapped in by partition, so a failed run leaves the
+    table as it was.
+    """
+    fresh = increment.withColumn("_part", F.coalesce(part.cast("string"), F.lit("none")))
+    touched = [r[0] for r in fresh.select("_part").distinct().collect()]   # one per month
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException:
+        table = None
+    if table is None:
+        merged = dedupe(fresh, keys, list(tie_break) or [c for c in fresh.columns if c not in keys])
+    else:
+        table = table.withColumn("_part", F.col("_part").cast("string"))
+        merged = upsert(table.where(F.col("_part").isin(touched)), fresh, existing_first, keys, tie_break)
+    staged = Stage(spark).put("merged", merged)
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_part").parquet(path))
+    return spark.read.parquet(path).select(*increment.columns)
 
 
 def coverage_gaps(earliest: date | None, latest: date | None, start: date,
@@ -66,8 +100,8 @@ def refresh(cached: DataFrame | None, landed: DataFrame, start: date, end: date,
                                                        F.lit(hi).cast("date")))
 
     if cached is None or not resume:
-        order = list(tie_break) or list(keys)
         fresh = window(start, end)
+        order = list(tie_break) or [c for c in fresh.columns if c not in keys]
         if fresh.limit(1).count() == 0:
             raise ValueError(f"no rows landed between {start} and {end}")
         return dedupe(fresh, keys, order, "first")

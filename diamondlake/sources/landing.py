@@ -80,23 +80,10 @@ def existing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in dict.fromkeys(columns) if c in df.columns])
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores; other inputs stay as they are.
-
-    A small file is one split, so one task would do the whole map side. With keys, later grouping
-    by them needs no second shuffle. Large inputs have more splits than cores and keep partial
-    aggregation ahead of their first shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 # --- pitch files -----------------------------------------------------------------------------------
 
 def read_pitches(spark: SparkSession, path: str) -> DataFrame:
-    return conform(spread(spark.read.parquet(path)))
+    return conform(spark.read.parquet(path))
 
 
 def read_landed(spark: SparkSession, path: str, start, end) -> DataFrame:
@@ -152,8 +139,18 @@ SCOREBOARD = (f"events array<struct<date:string,competitions:array<struct<"
 
 
 def read_scoreboard(spark: SparkSession, path: str) -> DataFrame:
-    """Landed scoreboard documents, one JSON document per line or file."""
-    return parse_scoreboard(spark.read.schema(SCOREBOARD).option("multiLine", True).json(path))
+    """Landed scoreboard documents: files of one JSON document each, or of one per line.
+
+    A file whose lines all begin and end as objects holds one document per line. Feeds are small
+    files, of a day each, which one task reads whole.
+    """
+    files = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != "")
+    per_line = F.forall(lines, lambda x: x.startswith("{") & x.endswith("}"))
+    documents = files.select(F.explode(F.when(per_line, lines).otherwise(
+        F.array("value"))).alias("doc"))
+    return parse_scoreboard(documents.select(
+        F.from_json("doc", SCOREBOARD).alias("j")).select("j.*"))
 
 
 def parse_scoreboard(documents: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from diamondlake import constants as K
 from diamondlake.plans.bindings import games_sql, pitches_sql
-from diamondlake.plans.catalog import CODES, SLATE_DAY, SPLIT_DAY
+from diamondlake.plans.catalog import AFTER_LAST, CODES, SLATE_DAY, SPLIT_DAY
+from diamondlake.plans.game_features import PITCH_ROW_FEATURES
 
 PA = ", ".join(f"'{e}'" for e in K.PA_END_EVENTS)
 HITS = "'single', 'double', 'triple', 'home_run'"
@@ -76,9 +77,9 @@ O["downcast_numbers"] = """select l_orderkey, l_partkey, cast(l_quantity as floa
  cast(l_linenumber as smallint) as l_linenumber from lineitem"""
 
 _TIE = "l_shipdate {0}, l_partkey {0}, l_suppkey {0}, l_quantity {0}, l_extendedprice {0}, " \
-       "l_discount {0}, l_tax {0}"
+       "l_discount {0}, l_tax {0}, l_returnflag {0}, l_linestatus {0}"
 _LINE_COLS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, " \
-             "l_discount, l_tax, l_shipdate"
+             "l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus"
 
 
 def _line_pick(first: str, direction: str) -> str:
@@ -87,10 +88,11 @@ def _line_pick(first: str, direction: str) -> str:
  from lineitem) where rn = 1"""
 
 
-_NEWER = f"(l_shipdate >= date '{SPLIT_DAY}')"
+_NEWER = f"coalesce(l_shipdate >= date '{SPLIT_DAY}', true)"
 O["upsert_top_up"] = _line_pick(f"{_NEWER} desc, ", "desc")
 # the back-filled rows are those before the cut; cached rows, those after it, win as well
 O["upsert_back_fill"] = _line_pick(f"{_NEWER} desc, ", "desc")
+O["cache_saved"] = O["upsert_top_up"]
 O["dedupe_first_load"] = _line_pick("", "asc")
 O["missing_days"] = """select cast(day as date) as day from
  (select unnest(generate_series(date '1994-12-01', date '2001-12-31', interval 1 day)) as day)
@@ -107,7 +109,7 @@ O["scoreboard_games"] = f"""with {GAMES} select
  case when game_pk % 3 = 0 then 'Arm ' || away_starter_id else 'TBD' end as sp_name_away,
  'Unknown' as venue from games"""
 O["schedule_walk_back"] = f"""with {GAMES}, w as (select * from games
- where day(game_date) < 10 and game_date between date '1999-03-07' and date '1999-03-14')
+ where game_date between date '{AFTER_LAST}' - 7 and date '{AFTER_LAST}')
 select game_pk, game_date from w where game_date = (select max(game_date) from w)"""
 O["run_dates"] = """select distinct run_date from (
  select strftime(o_orderdate, '%Y%m%d') as run_date from orders
@@ -405,7 +407,7 @@ def _family(types: list[str]) -> str:
 
 
 _RISP = "(case when on_2b is null then 0 else 1 end + case when on_3b is null then 0 else 1 end)"
-O["pitch_features"] = f"""with {_RESULTS} select p.game_pk, p.at_bat_number, p.pitch_number,
+O["pitch_features"] = f"""with {PITCHES}, gf as ({O["game_features"]}) select p.game_pk, p.at_bat_number, p.pitch_number,
  (case when on_1b is null then 0 else 1 end) + {_RISP} as bases_loaded,
  {_RISP} as runners_in_scoring_position, {_RISP} > 0 as is_risp,
  coalesce(p.home_score, 0) - coalesce(p.away_score, 0) as score_diff,
@@ -413,20 +415,21 @@ O["pitch_features"] = f"""with {_RESULTS} select p.game_pk, p.at_bat_number, p.p
  cast(row_number() over (partition by p.game_pk, p.at_bat_number order by p.pitch_number) as int)
  as ab_pitch_count, cast(ceil(p.at_bat_number / 9.0e0) as int) as times_through_order,
  case when stand = p_throws then 'same' else 'opposite' end as lr_matchup,
- launch_speed as exit_velocity, launch_angle as launch_angle_f,
+ {r("launch_speed", 5)} as exit_velocity, {r("launch_angle", 5)} as launch_angle_f,
  case when pitch_type in ({_family(K.PITCH_CATEGORIES["fastball"])}) then 'fastball'
   when pitch_type in ({_family(K.PITCH_CATEGORIES["breaking"])}) then 'breaking'
   when pitch_type in ({_family(K.PITCH_CATEGORIES["offspeed"])}) then 'offspeed'
   else 'unknown' end as pitch_category,
- r.home_win, r.total_runs, r.venue from pitches p left join results r on p.game_pk = r.game_pk"""
+ {", ".join(f"gf.{c}" for c in PITCH_ROW_FEATURES)} from pitches p left join gf on p.game_pk = gf.game_pk"""
 
 # --- ratings and records ----------------------------------------------------------------------------
 
 
 def _elo(where: str = "true") -> str:
     """A recursive walk over each league's games that carries all thirty ratings as a list."""
-    return f"""g as (select o_orderpriority as league, row_number() over (
- partition by o_orderpriority order by cast(o_orderdate as date), o_orderkey) as seq,
+    league = "cast(cast(floor(o_custkey / 30) as bigint) as varchar)"
+    return f"""g as (select {league} as league, row_number() over (
+ partition by {league} order by cast(o_orderdate as date), o_orderkey) as seq,
  o_orderkey as game_pk, year(o_orderdate) as yr, o_custkey % 30 as h,
  (o_custkey % 30 + 1 + o_orderkey % 29) % 30 as a,
  case o_orderstatus when 'F' then 1.0e0 when 'O' then 0.0e0 end as won from orders where {where}),
@@ -708,8 +711,8 @@ select game_pk, prob as home_win_prob_model, moneyline_home, moneyline_away,
  {even("prob - h / (h + a)", 4)} as edge_home, {even("1 - prob - a / (h + a)", 4)} as edge_away
 from f"""
 O["american_lines"] = f"""with {GAMES}, ml as (select game_pk, cast(case when prob >= 0.5
- then round_even(-100 * prob / (1 - prob), 0) else round_even(100 * (1 - prob) / prob, 0) end as int)
- as line from games where prob > 0)
+ then round_even(-100 * prob / (1 - prob), 0) when prob > 0 then round_even(100 * (1 - prob) / prob, 0)
+ end as int) as line from games)
 select game_pk, line, {r(_implied("line"))} as back from ml"""
 
 O["range_accuracy"] = f"""with {GAMES} select count(*) as n_games, {even("100.0e0 * avg("
@@ -752,12 +755,17 @@ O["quantiles"] = " union all ".join(
 O["column_medians"] = f"""select 'l_quantity' as feature, {r("median(l_quantity)")} as median
 from lineitem union all select 'some', {r("median(case when l_partkey % 3 = 0 "
  "then l_extendedprice end)")} from lineitem union all select 'none', 0.0e0"""
-_LONG = "long as (" + " union all ".join(
-    f"select '{name}' as feature, year(l_shipdate) = 2000 as cur, {expr} as v from lineitem "
-    f"where year(l_shipdate) in (1999, 2000) and ({expr}) is not null" for name, expr in (
-        ("l_quantity", "l_quantity"), ("l_extendedprice", "l_extendedprice"),
-        ("l_discount", "l_discount"), ("l_tax", "l_tax"),
-        ("supp", "case when l_partkey % 4 > 0 then cast(l_suppkey as double) end"))) + ")"
+_WINDOWS = f"""{GAMES}, dec as (select * from games where home_win is not null),
+ranked as (select *, game_date >= date '1999-09-02' as cur, row_number() over (
+ partition by game_date >= date '1999-09-02' order by game_date desc, game_pk desc) as rn from dec),
+win as (select * from ranked where cur
+ or rn <= greatest(3 * (select count(*) from ranked where cur), 250))"""
+_LONG = _WINDOWS + ", long as (" + " union all ".join(
+    f"select '{name}' as feature, cur, cast({expr} as double) as v from win "
+    f"where ({expr}) is not null" for name, expr in (
+        ("o_totalprice", "o_totalprice"), ("prob", "prob"), ("home_score", "home_score"),
+        ("away_score", "away_score"),
+        ("starter", "case when game_pk % 4 > 0 then home_starter_id end"))) + ")"
 _PSI = f"""{_LONG},
 qe as (select feature, list_sort(list_distinct(list_transform(quantile_cont(v,
  [{", ".join(str(i / 10) for i in range(11))}]), lambda e: round(e, 9)))) as ed from long group by 1),
@@ -796,6 +804,11 @@ old as (select game_pk, row_number() over (order by game_date desc, game_pk desc
  where game_date < date '1999-09-02')
 select game_pk, 'current' as part from cur union all
 select game_pk, 'baseline' from old where rn <= greatest(3 * (select count(*) from cur), 250)"""
+O["drift_baseline_of_names"] = f"""with {GAMES}, dec as (select *, 'g' || game_pk as name from games
+ where home_win is not null), old as (select name, row_number() over (order by game_date desc,
+ name desc) as rn from dec where game_date < date '1999-09-02')
+select name as game_pk from old where rn <= greatest(3 * (select count(*) from dec
+ where game_date >= date '1999-09-02'), 250)"""
 O["feature_coverage"] = f"with {_HIST}" + " union all ".join(
     f" select '{c}' as feature, {even(f'100.0e0 * count({c}) / count(*)', 0)} as coverage_pct "
     "from hist" for c in ("woba_30g_home", "sp_era_home", "opp_lefty_share_home", "home_win"))
@@ -809,7 +822,7 @@ select c.date, mm.auc as auc_roc, mm.brier as brier_score, mm.logloss as log_los
  mm.ece as cal_error, c.wins, c.losses, c.completed, bkg.bucket, bkg.count as bucket_count,
  {even("mean_actual * 100", 1)} as accuracy_pct
 from c join mm using (date) join bkg using (date) where c.date = '20000615'"""
-O["monitor_record"] = f"""with {_SCORED}, {_metrics("")}, {_DRIFT}
+O["monitor_record"] = f"""with {_SCORED}, {_metrics("")}, {_DRIFT.removeprefix(GAMES + ", ")}
 select '20000615' as date, 'v1' as version, '2000-06-15' as last_retrained,
  '2000-06-22' as next_retrain, auc, brier,
  (select count_if(status = 'WARN') from dz) as warnings,

@@ -144,3 +144,10 @@ def test_coverage(spark):
            drift.feature_coverage(df, ["a", "b", "zz"]).collect()}
     assert got == {"a": 67.0, "b": 33.0}
 
+
+def test_newest_rows_ranks_text_ids_in_their_order(spark):
+    rows = [(f"g{i:05d}", dt.date(2026, 5, 1)) for i in range(2000)] + [("old", dt.date(2026, 4, 1))]
+    df = spark.createDataFrame(rows, "game_pk string, game_date date")
+    got = sorted(r["game_pk"] for r in drift.newest_rows(df, 250).collect())
+    assert got == [f"g{i:05d}" for i in range(1750, 2000)]
+    assert drift.newest_rows(df, 2001).count() == 2001 and drift.newest_rows(df, 9999).count() == 2001

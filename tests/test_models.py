@@ -35,7 +35,8 @@ def games(spark):
                      None if i % 5 == 0 else z, None))
     return spark.createDataFrame(
         rows, "game_pk long, game_date date, home_team string, away_team string, home_win double, "
-              "home_score int, away_score int, x double, z double, empty double").cache()
+              "home_score int, away_score int, x double, z double, empty double").withColumn(
+        "league", F.lit("one")).cache()
 
 
 def test_statistics_come_from_training_rows(spark, games):

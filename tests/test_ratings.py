@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from diamondlake.operators import ratings
 from diamondlake.operators.prior import day_of, hot_split
@@ -14,7 +15,7 @@ SCHEMA = ("game_pk long, game_date date, home_team string, away_team string, hom
 def games(spark, rows):
     return spark.createDataFrame(
         [(i, dt.date.fromisoformat(d), h, a, None if w is None else float(w), hs, as_)
-         for i, (d, h, a, w, hs, as_) in enumerate(rows)], SCHEMA)
+         for i, (d, h, a, w, hs, as_) in enumerate(rows)], SCHEMA).withColumn("league", F.lit("one"))
 
 
 SEASONS = [("2025-04-01", "BOS", "SEA", 1, 5, 3), ("2025-04-02", "BOS", "NYY", 1, 8, 2),
@@ -138,3 +139,17 @@ def test_last_played(spark):
     got = {r["team"]: r["last_played"].isoformat() for r in
            ratings.last_played(games(spark, SEASONS)).collect()}
     assert got == {"BOS": "2026-03-17", "SEA": "2026-03-17", "NYY": "2025-04-04"}
+
+
+def test_games_without_a_date_keep_their_ratings_by_season(spark):
+    df = games(spark, SEASONS).withColumn(
+        "game_date", F.when(F.col("game_pk") != 2, F.col("game_date")))
+    want = sorted(map(tuple, ratings.elo_entering(df).collect()))
+    got = sorted(map(tuple, ratings.elo_by_season(df, Stage(spark)).collect()))
+    assert got == want and len(got) == len(SEASONS)
+
+
+def test_a_league_column_is_required(spark):
+    from pyspark.errors import AnalysisException
+    with pytest.raises(AnalysisException):
+        ratings.elo_entering(games(spark, SEASONS).drop("league")).collect()

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from diamondlake import constants as K
 from diamondlake.plans import slate
@@ -37,7 +38,7 @@ def built(spark):
         "sp_name_away string, venue string")
     pitches = spark.createDataFrame([("Cole, Gerrit", 10), ("KIRBY,  George", 20), (None, 5)],
                                     "player_name string, pitcher long")
-    out = slate.build_upcoming_slate(history, TODAY, schedule, slate.name_crosswalk(pitches))
+    out = slate.build_upcoming_slate(history.withColumn('league', F.lit('one')), TODAY, schedule, slate.name_crosswalk(pitches))
     return {r["home_team"]: r.asDict() for r in out.collect()}
 
 
@@ -87,6 +88,17 @@ def test_elo_entering(built):
 def test_zero_flag(spark):
     empty = spark.createDataFrame([], HISTORY)
     schedule = spark.createDataFrame([("A", "B")], "home_team string, away_team string")
-    got = slate.build_upcoming_slate(empty, TODAY, schedule, zero_for_no_games=True).first()
+    got = slate.build_upcoming_slate(empty.withColumn('league', F.lit('one')), TODAY, schedule, zero_for_no_games=True).first()
     assert got["home_win_pct"] == 0.0 and got["home_record"] == "0-0"
-    assert slate.build_upcoming_slate(empty, TODAY, schedule.limit(0)).count() == 0
+    assert slate.build_upcoming_slate(empty.withColumn('league', F.lit('one')), TODAY, schedule.limit(0)).count() == 0
+
+
+def test_games_of_the_day_and_after_are_not_seen(spark, built):
+    past = [game(1, 18, "NYY", "SEA", 1.0, 5, 2, 10.0, 20.0, .320, .310, .40, .44, 4.0, 3.9, 3.0, 9.0)]
+    later = [game(8, 22, "NYY", "SEA", 0.0, 0, 9, 10.0, 20.0, .1, .1, .1, .1, 9.0, 9.0, 9.0, 1.0),
+             game(9, 25, "SEA", "NYY", 1.0, 9, 0, 20.0, 10.0, .1, .1, .1, .1, 9.0, 9.0, 9.0, 1.0)]
+    schedule = spark.createDataFrame([("NYY", "SEA")], "home_team string, away_team string")
+    rows = [slate.build_upcoming_slate(
+        spark.createDataFrame(h, HISTORY).withColumn("league", F.lit("one")), TODAY, schedule).collect()
+        for h in (past, past + later)]
+    assert rows[0] == rows[1] and rows[0][0]["home_record"] == "1-0"

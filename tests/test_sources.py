@@ -239,3 +239,30 @@ def test_retrain_countdown(spark):
     df = spark.createDataFrame([("2026-08-20", "2026-08-27")],
                                "last_retrained string, next_retrain string")
     assert tuple(reports.retrain_countdown(df, "2026-08-22").first()) == (2, 5)
+
+
+def test_scoreboard_reads_lines_and_whole_documents(spark, tmp_path):
+    import json
+    def document(home, away):
+        sides = [{"homeAway": "home", "score": "3", "team": {"abbreviation": home}},
+                 {"homeAway": "away", "score": "1", "team": {"abbreviation": away}}]
+        return {"events": [{"date": "2025-04-01T23:05Z", "competitions": [{"competitors": sides}]}]}
+    (tmp_path / "a.json").write_text("\n".join(json.dumps(document(h, "SEA")) for h in ("BOS", "NYY", "TB")) + "\n")
+    (tmp_path / "b.json").write_text(json.dumps(document("LAD", "SF"), indent=2))
+    (tmp_path / "c.json").write_text(json.dumps(document("MIL", "SF")))
+    (tmp_path / "d.json").write_text("")
+    got = sorted(r["home_team"] for r in landing.read_scoreboard(spark, str(tmp_path)).collect())
+    assert got == ["BOS", "LAD", "MIL", "NYY", "TB"]
+
+
+def test_saving_replaces_only_touched_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+    path, part = str(tmp_path / "cache"), F.date_format("day", "yyyyMM")
+    rows = lambda *r: spark.createDataFrame(r, "k int, day string, v string")
+    cache.save(spark, path, rows((1, "2025-04-01", "a"), (2, "2025-05-01", "a"), (3, None, "a")), part, keys=["k"])
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "cache").glob("_part=202505/*.parquet")}
+    out = cache.save(spark, path, rows((1, "2025-04-01", "b"), (4, "2025-04-02", "c"), (3, None, "d")), part, keys=["k"])
+    assert sorted((r.k, r.v) for r in out.collect()) == [(1, "b"), (2, "a"), (3, "d"), (4, "c")]
+    assert before == {p: p.stat().st_mtime_ns for p in before}
+    back = cache.save(spark, path, rows((2, "2025-05-01", "z")), part, existing_first=False, keys=["k"])
+    assert sorted((r.k, r.v) for r in back.collect())[1] == (2, "a")
