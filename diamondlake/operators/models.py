@@ -54,6 +54,8 @@ class Ensemble:
 
 def member_weights(names: Sequence[str], configured: dict[str, float] | None = None) -> dict:
     """Configured weights renormalised over the members present; equal parts if none is known."""
+    if not names:
+        return {}
     table = K.MEMBER_WEIGHTS if configured is None else configured
     raw = {n: table.get(n, 0.0) for n in names}
     total = sum(raw.values())
@@ -137,16 +139,24 @@ def member_probabilities(ens: Ensemble, df: DataFrame) -> DataFrame:
         out = (out.withColumn(f"p_{name}", vector_to_array(cols["probability"])[1])
                .drop(*cols.values()))
     out = out.drop("_linear", "_tree")
-    if not ens.models:
-        return out.withColumn("home_win_prob_model", F.lit(0.5))
-    blend = reduce(lambda a, b: a + b,
-                   [F.lit(w) * F.col(f"p_{n}") for n, w in ens.weights.items()])
-    return out.withColumn("home_win_prob_model", blend)
+    return blended(out, ens.weights)
+
+
+def blended(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Add the weighted sum of the member columns `p_<member>`; 0.5 without members."""
+    if not weights:
+        return df.withColumn("home_win_prob_model", F.lit(0.5))
+    return df.withColumn("home_win_prob_model", reduce(
+        lambda a, b: a + b, [F.lit(w) * F.col(f"p_{n}") for n, w in weights.items()]))
 
 
 def predict_games(ens: Ensemble, games: DataFrame) -> DataFrame:
     """Rounded probabilities, the pick, and edges against the market."""
-    out = member_probabilities(ens, games).drop(*[f"p_{n}" for n in ens.models])
+    return with_picks(member_probabilities(ens, games).drop(*[f"p_{n}" for n in ens.models]))
+
+
+def with_picks(out: DataFrame) -> DataFrame:
+    """What `predict_games` adds to rows that have `home_win_prob_model`."""
     out = out.withColumn("home_win_prob_model", S.half_even("home_win_prob_model", 4))
     out = out.withColumns({
         "away_win_prob_model": S.half_even(1 - F.col("home_win_prob_model"), 4),

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -826,3 +829,125 @@ def monitor_record(spark, d):
                       "metrics.brier", "drift_summary.warnings", "drift_summary.alerts",
                       F.size("feature_drift").alias("n_features"),
                       F.size("rolling_brier").alias("n_days"))
+
+
+# --- parts of the models that SQL can state ---------------------------------------------------------
+
+_INPUTS = ["o_totalprice", "home_starter", "nothing"]
+
+
+def _inputs(spark, d):
+    return B.games(spark, d).withColumns({
+        "home_starter": F.expr("case when game_pk % 3 > 0 then cast(home_starter_id as double) end"),
+        "nothing": F.lit(None).cast("double")})
+
+
+@query
+def standardised_inputs(spark, d):
+    g = _inputs(spark, d)
+    ens = models.input_stats(g, _INPUTS)
+    linear = models.vectors(g, ens).select("game_pk", vector_to_array("_linear").alias("z"),
+                                           vector_to_array("_tree").alias("t"))
+    return rounded(linear.select("game_pk", *[F.col("z")[i].alias(f"z_{c}") for i, c in enumerate(_INPUTS)],
+                                 F.col("t")[1].alias("tree_value"), F.col("t")[4].alias("tree_missing")), 4)
+
+
+def _members(spark, d):
+    """Decided games with stand-in columns of the three members."""
+    return B.scored(spark, d).withColumns({
+        "p_boosted_a": F.col("prob"), "p_boosted_b": F.expr("cast(game_pk % 101 as double) / 100"),
+        "p_logistic": F.expr("cast(game_pk * 7 % 1000 as double) / 1000")})
+
+
+@query
+def blended_members(spark, d):
+    m = _members(spark, d)
+    three = models.blended(m, models.member_weights(list(K.MEMBER_WEIGHTS)))
+    two = models.blended(m, models.member_weights(["boosted_a", "logistic"]))
+    return rounded(three.select("game_pk", F.col("home_win_prob_model").alias("p")).join(
+        two.select("game_pk", F.col("home_win_prob_model").alias("p_of_two")), "game_pk"))
+
+
+@query
+def roster_of_columns(spark, d):
+    return rounded(models.roster(_members(spark, d), ["boosted_a", "logistic"]), 4)
+
+
+@query
+def picked_games(spark, d):
+    g = _members(spark, d).selectExpr(
+        "game_pk", "home_team", "away_team", "p_boosted_b as home_win_prob_model",
+        "case when game_pk % 5 > 0 then cast(100 + game_pk % 90 as int) end as moneyline_home",
+        "case when game_pk % 7 > 0 then cast(-110 - game_pk % 60 as int) end as moneyline_away")
+    return models.with_picks(g).drop("moneyline_home", "moneyline_away")
+
+
+@query
+def cover_labels(spark, d):
+    return B.games(spark, d).select("game_pk", models.cover_label().alias("cover"),
+                                    models.cover_label(as_home_win=True).alias("win"))
+
+
+@query
+def total_errors(spark, d):
+    g = B.games(spark, d).withColumns({"total": F.col("home_score") + F.col("away_score"),
+                                       "guess": F.col("prob") * 10})
+    return metrics.regression_errors(g, "total", "guess")
+
+
+@query
+def given_attributions(spark, d):
+    """The shares of a linear member whose coefficients are given."""
+    ens = models.Ensemble(["o_totalprice", "prob"], {"o_totalprice": 0.0, "prob": 0.5},
+                          {"o_totalprice": 1000.0, "prob": 0.5}, {"o_totalprice": 500.0, "prob": 0.25},
+                          {"logistic": SimpleNamespace(coefficients=Vectors.dense([0.01, -2.0]))})
+    return models.attributions(ens, B.games(spark, d), "game_pk")
+
+
+# --- round trips ------------------------------------------------------------------------------------
+
+@query
+def games_read_back(spark, d):
+    """Games written as CSV and as Parquet and read by the game reader."""
+    folder = Stage(spark).folder
+    g = B.games(spark, d).select("game_pk", "game_date", "home_team", "prob", "home_win")
+    g.write.option("header", True).csv(f"{folder}/games.csv")
+    artifacts.write_parquet(g, f"{folder}/games", ["home_team"])
+    schema = "game_pk bigint, game_date date, home_team string, prob double, home_win int"
+    text = landing.read_games(spark, f"{folder}/games.csv", schema)
+    return text.unionByName(landing.read_games(spark, f"{folder}/games").select(*text.columns))
+
+
+@query
+def landed_days(spark, d):
+    """Pitches of a range of dates from landed files."""
+    path = f"{Stage(spark).folder}/landed"
+    artifacts.write_sorted(B.pitches(spark, d), path, ["game_date", "game_pk"])
+    return landing.read_landed(spark, path, "1996-02-01", "1999-10-31").select(*K.PITCH_KEY, "game_date", "events")
+
+
+@query
+def attributions_read_back(spark, d):
+    """Attributions written as one partition per season and run, read back for one run."""
+    path = f"{Stage(spark).folder}/attributions"
+    rows = given_attributions(spark, d).join(B.games(spark, d).select("game_pk", "season"), "game_pk")
+    for run in ("20000614", "20000615"):
+        artifacts.write_csv(rows, path, run, ["season"])
+    schema = "game_pk bigint, feature string, attribution double, signed_effect string, rank int"
+    return artifacts.read_run(spark, path, "20000615", schema).drop("run_date", "season")
+
+
+@query
+def history_read_back(spark, d):
+    """One row a season appended to the history table twice."""
+    path = f"{Stage(spark).folder}/history"
+    for version in ("v1", "v2"):
+        artifacts.append_history(season_metrics(spark, d).withColumn("version", F.lit(version)), path)
+    return spark.read.parquet(path)
+
+
+@query
+def known_venues(spark, d):
+    code = "split_part('" + CODES + "', ',', cast(game_pk % 10 + 1 as int))"
+    return B.games(spark, d).selectExpr("game_pk", code + " as team").select(
+        "game_pk", "team", S.venue_of(S.canonical_team("team")).alias("venue"))

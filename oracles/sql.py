@@ -830,4 +830,59 @@ select '20000615' as date, 'v1' as version, '2000-06-15' as last_retrained,
  cast((select count(*) from dz) as int) as n_features,
  cast((select count(distinct game_date) from sc) as int) as n_days from mm"""
 
+# --- parts of the models, round trips ----------------------------------------------------------------
+
+O["standardised_inputs"] = f"""with {GAMES}, i as (select game_pk, o_totalprice as a,
+ case when game_pk % 3 > 0 then cast(home_starter_id as double) end as b from games),
+m as (select median(a) as ma, median(b) as mb from i),
+f as (select game_pk, coalesce(a, ma) as a, coalesce(b, mb) as b, b is null as gone from i, m),
+s as (select avg(a) as aa, stddev_pop(a) as sa, avg(b) as ab, stddev_pop(b) as sb from f)
+select game_pk, {r("(a - aa) / sa", 4)} as z_o_totalprice, {r("(b - ab) / sb", 4)} as z_home_starter,
+ 0.0e0 as z_nothing, {r("b", 4)} as tree_value, {r("cast(gone as double)", 4)} as tree_missing from f, s"""
+_MEMBERS = f"""{GAMES}, sc as (select *, cast(home_win as double) as y, prob as pa,
+ cast(game_pk % 101 as double) / 100 as pb, cast(game_pk * 7 % 1000 as double) / 1000 as pl
+ from games where home_win is not null)"""
+O["blended_members"] = f"""with {_MEMBERS} select game_pk, {r("0.4e0 * pa + 0.4e0 * pb + 0.2e0 * pl")} as p,
+ {r("0.4e0 / (0.4e0 + 0.2e0) * pa + 0.2e0 / (0.4e0 + 0.2e0) * pl")} as p_of_two from sc"""
+O["roster_of_columns"] = f"""with {_MEMBERS}, long as (select 'boosted_a' as name, y, pa as p from sc
+ union all select 'boosted_b', y, pb from sc union all select 'logistic', y, pl from sc),
+q as (select name, y, least(greatest(p, 1e-7), 1 - 1e-7) as q from long),
+k as (select *, rank() over (partition by name order by q)
+ + (count(*) over (partition by name, q) - 1) / 2.0e0 as rnk from q)
+select name, {r("max(case name when 'boosted_a' then round(0.4e0 / (0.4e0 + 0.2e0), 4) when 'logistic' "
+"then round(0.2e0 / (0.4e0 + 0.2e0), 4) else 0.0e0 end)", 4)} as weight,
+ {r(even("(sum(case when y = 1 then rnk end) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y)))", 4), 4)}
+ as auc, {r(even("avg((q - y) * (q - y))", 4), 4)} as brier,
+ {r(even("-avg(y * ln(q) + (1 - y) * ln(1 - q))", 4), 4)} as logloss, count(*) as n_eval from k group by name"""
+O["picked_games"] = f"""with {_MEMBERS}, ml as (select game_pk, home_team, away_team, {even("pb", 4)} as p,
+ case when game_pk % 5 > 0 then cast(100 + game_pk % 90 as int) end as mh,
+ case when game_pk % 7 > 0 then cast(-110 - game_pk % 60 as int) end as ma from sc),
+f as (select *, {_implied("coalesce(mh, -110)")} as h, {_implied("coalesce(ma, -110)")} as a from ml)
+select game_pk, home_team, away_team, p as home_win_prob_model, {even("1 - p", 4)} as away_win_prob_model,
+ case when p >= 0.5 then home_team else away_team end as model_pick,
+ {even("p - h / (h + a)", 4)} as edge_home, {even("1 - p - a / (h + a)", 4)} as edge_away from f"""
+O["cover_labels"] = f"""with {GAMES} select game_pk,
+ case when home_score - away_score >= 2 then 1.0e0 else 0.0e0 end as cover, cast(home_win as double) as win from games"""
+O["total_errors"] = f"""with {GAMES}, e as (select prob * 10 - (home_score + away_score) as e from games)
+select {even("sqrt(avg(e * e))", 4)} as rmse, {even("avg(abs(e))", 4)} as mae from e"""
+_SHARES = f"""{GAMES}, sh as (
+ select game_pk, game_date, 'o_totalprice' as feature, {even("0.01e0 * ((o_totalprice - 1000) / 500)", 6)} as attribution
+ from games union all
+ select game_pk, game_date, 'prob', {even("-2.0e0 * ((prob - 0.5e0) / 0.25e0)", 6)} from games),
+att as (select game_pk, game_date, feature, attribution,
+ case when attribution > 0 then 'positive' else 'negative' end as signed_effect,
+ cast(row_number() over (partition by game_pk order by abs(attribution) desc, feature) as int) as rank from sh)"""
+O["given_attributions"] = f"""with {_SHARES} select * exclude (game_date) from att"""
+O["attributions_read_back"] = O["given_attributions"]
+O["games_read_back"] = f"""with {GAMES}, g as (select game_pk, game_date, home_team, prob, home_win from games)
+select * from g union all select * from g"""
+O["landed_days"] = f"""with {PITCHES} select game_pk, at_bat_number, pitch_number, game_date, events
+from pitches where game_date between date '1996-02-01' and date '1999-10-31'"""
+O["history_read_back"] = " union all ".join(
+    f"select *, '{v}' as version from ({O['season_metrics']})" for v in ("v1", "v2"))
+O["known_venues"] = f"""with {GAMES}, t as (select game_pk,
+ split_part('{CODES}', ',', cast(game_pk % 10 + 1 as int)) as team from games),
+c as (select game_pk, team, {_canonical("team")} as home_team from t)
+select game_pk, team, {VENUE} as venue from c"""
+
 ORACLES = O
