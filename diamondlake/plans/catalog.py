@@ -755,50 +755,53 @@ def feature_coverage(spark, d):
 
 # --- models (no SQL form) ---------------------------------------------------------------------------
 
-MODEL_FEATURES = ["home_win_pct", "away_win_pct", "home_run_diff", "away_run_diff", "home_elo"]
-_QUICK = models.Settings(rounds=3, depth=3)
-
+# Published settings and every model feature the frame has; the number of folds is bounded by
+# max_folds alone. A boosted member of 300 rounds is several hundred small jobs.
 
 def _model_games(spark, d):
-    return G.enrich_games(B.games(spark, d)).withColumns({
+    return Stage(spark).put("model_games", G.enrich_games(B.games(spark, d)).withColumns({
         "game_id": S.game_id("game_date", "away_team", "home_team"),
-        "total_runs": F.col("home_score") + F.col("away_score")})
+        "total_runs": F.col("home_score") + F.col("away_score")}))
+
+
+def _features(g):
+    return [c for c in K.FEATURES if c in g.columns]
+
+
+def _newest_fold(spark, d):
+    g = _model_games(spark, d)
+    return models.walk_forward(g, _features(g), cadence=K.RETRAIN_CADENCE, max_folds=1)
 
 
 @query
 def walk_forward_predictions(spark, d):
-    oof = models.walk_forward(_model_games(spark, d), MODEL_FEATURES, _QUICK, cadence=800)
-    return oof.select("game_pk", "fold_idx", "home_win", "p_boosted_a", "p_boosted_b",
-                      "p_logistic", "home_win_prob_model")
+    return _newest_fold(spark, d).select("game_pk", "fold_idx", "home_win", "p_boosted_a", "p_boosted_b",
+                                         "p_logistic", "home_win_prob_model")
 
 
 @query
 def member_roster(spark, d):
-    oof = models.walk_forward(_model_games(spark, d), MODEL_FEATURES, _QUICK, cadence=800)
-    return models.roster(oof, list(K.MEMBER_WEIGHTS))
+    return models.roster(_newest_fold(spark, d), list(K.MEMBER_WEIGHTS))
 
 
 @query
 def linear_attributions(spark, d):
     g = _model_games(spark, d)
-    ens = models.fit(g, MODEL_FEATURES, models.Settings(members=("logistic",)))
+    ens = models.fit(g, _features(g), models.Settings(members=("logistic",)))
     return models.attributions(ens, g, "game_pk")
 
 
 @query
 def totals_predictions(spark, d):
     g = _model_games(spark, d)
-    out, _ = models.totals_head(g.where("season < 2000"), g.where("season >= 2000"),
-                                MODEL_FEATURES, models.Settings(rounds=3, depth=3))
+    out, _ = models.totals_head(g.where("season < 2000"), g.where("season >= 2000"), _features(g))
     return out.select("game_pk", "total_runs", "total_runs_model")
 
 
 @query
 def run_line_predictions(spark, d):
     g = _model_games(spark, d)
-    settings = models.Settings(members=("boosted_a", "boosted_b"), rounds=3, depth=3)
-    out, _ = models.run_line_head(g.where("season < 2000"), g.where("season >= 2000"),
-                                  MODEL_FEATURES, settings)
+    out, _ = models.run_line_head(g.where("season < 2000"), g.where("season >= 2000"), _features(g))
     return out.select("game_pk", F.col("home_win_prob_model").alias("cover_prob"))
 
 
