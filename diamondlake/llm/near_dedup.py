@@ -104,7 +104,8 @@ def _buckets(spark: SparkSession) -> int:
 
 
 def _likely_pairs(percent: int):
-    """Pairs of a region in different components with like signatures, at least one of them asking."""
+    """Pairs of a region in different components with like signatures: those who ask with the
+    others, or with each other where all ask."""
     def pairs(rows):
         rows = rows.sort_values(["region", "id"])
         ids, labels = rows["id"].to_numpy(), rows["component"].to_numpy()
@@ -114,17 +115,24 @@ def _likely_pairs(percent: int):
         regions = rows["region"].to_numpy()
         cut = np.flatnonzero(np.append(True, regions[1:] != regions[:-1]))
         out_a, out_b = [], []
+
+        def meet(k: int, others: np.ndarray) -> None:
+            like = (signs[others] == signs[k]).sum(axis=1) >= int(LIKELY * VALUES)
+            like &= labels[others] != labels[k]
+            like &= 100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k])
+            met = ids[others[like]]
+            out_a.append(np.minimum(met, ids[k]))
+            out_b.append(np.maximum(met, ids[k]))
+
         for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(rows)).tolist()):
-            own = signs[lo:hi]
-            for k in range(lo, hi - 1):
-                rest = slice(k + 1, hi)
-                like = (own[k - lo + 1:] == own[k - lo]).sum(axis=1) >= int(LIKELY * VALUES)
-                like &= (labels[rest] != labels[k]) & (asks[rest] | asks[k])
-                like &= 100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k])
-                other = np.flatnonzero(like) + k + 1
-                out_a += [ids[k]] * len(other)
-                out_b += ids[other].tolist()
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)}).drop_duplicates()
+            every = np.arange(lo, hi)
+            asking, there = every[asks[lo:hi]], every[~asks[lo:hi]]
+            for k in there.tolist():
+                meet(k, asking)
+            for k in every[:-1].tolist() if not len(there) else ():     # all ask each other
+                meet(k, np.arange(k + 1, hi))
+        out_a, out_b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (out_a, out_b))
+        return pd.DataFrame({"a": out_a, "b": out_b}).drop_duplicates()
     return pairs
 
 
