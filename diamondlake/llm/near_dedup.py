@@ -11,10 +11,12 @@
   So a group of copies never becomes all pairs. Last, members of a crowded region outside its
   largest component meet the whole region in blocks of REGION, so the depth loses no link.
 * Candidates whose signatures agree on less than LIKELY of the values, or whose set sizes rule the
-  similarity out, are dropped; the others are confirmed on the shingle sets of the whole texts.
+  similarity out, are dropped; inside regions also those whose SKETCH smallest shingle hashes put
+  the similarity under SURE, which separates a crowd of loosely related texts. The others are
+  confirmed on the shingle sets of the whole texts.
 
 At a similarity of 0.75 a pair shares the first three values of none of the 20 trees with a
-probability of 2e-5, and agrees on less than LIKELY with 2e-5.
+probability of 2e-5, agrees on less than LIKELY with 2e-5, and is estimated under SURE with 2e-5.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ TREES, DEPTHS = 20, (3, 4, 6, 9, 14)
 VALUES = TREES * DEPTHS[0]
 REGION = 128
 LIKELY = 0.52
+SKETCH, SURE = 256, 0.64
+FULL = np.uint32(0xFFFFFFFF)        # ends a sketch that holds the whole set
 SEED = 11
 
 
@@ -69,6 +73,28 @@ def _signature_rows(words: int):
     return rows
 
 
+def _sketch_rows(words: int):
+    """The upper halves of the SKETCH smallest shingle hashes of each text, in order."""
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _slices(batches, ["text"]):
+            out = np.full((len(batch), SKETCH), FULL, np.uint32)
+            for k, s in enumerate(arrays.shingle_sets(arrays.encoded(batch["text"]), words)):
+                s = (s[:SKETCH] >> np.uint64(32)).astype(np.uint32)
+                out[k, :len(s)] = s
+            yield pd.DataFrame({"id": batch["id"], "sketch": [r.tobytes() for r in out]})
+    return rows
+
+
+def _estimates(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The similarity of a sketch with others, from the hashes up to where both are complete."""
+    upto = np.minimum(own[-1], others[:, -1])[:, None]
+    below = (others <= upto) & (others < FULL)
+    at = np.minimum(np.searchsorted(own, others), SKETCH - 1)
+    common = (below & (own[at] == others)).sum(axis=1)
+    mine = np.searchsorted(own, np.minimum(upto[:, 0], FULL - 1), side="right")
+    return common / np.maximum(mine + below.sum(axis=1) - common, 1)
+
+
 def _slices(batches: Iterator[pd.DataFrame], columns: list[str],
             most: int = 2 << 20) -> Iterator[pd.DataFrame]:
     """The batches in slices of about `most` characters, which bounds the arrays made of them."""
@@ -112,6 +138,7 @@ def _likely_pairs(percent: int):
         sizes = rows["n_shingles"].to_numpy()
         asks = rows["asks"].to_numpy(dtype=bool)
         signs = np.stack(rows["signature"].to_numpy())
+        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint32).reshape(-1, SKETCH)
         regions = rows["region"].to_numpy()
         cut = np.flatnonzero(np.append(True, regions[1:] != regions[:-1]))
         out_a, out_b = [], []
@@ -120,7 +147,8 @@ def _likely_pairs(percent: int):
             like = (signs[others] == signs[k]).sum(axis=1) >= int(LIKELY * VALUES)
             like &= labels[others] != labels[k]
             like &= 100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k])
-            met = ids[others[like]]
+            others = others[like]
+            met = ids[others[_estimates(sketches[k], sketches[others]) >= SURE]]
             out_a.append(np.minimum(met, ids[k]))
             out_b.append(np.maximum(met, ids[k]))
 
@@ -190,11 +218,12 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     mixed = members.groupBy("region").agg(
         F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("region")
     signs = heads.select("id", "n_shingles", "signature")
+    sketches = stage.put("sketches", texts.mapInPandas(_sketch_rows(words), "id long, sketch binary"))
 
     def alike(met: DataFrame) -> DataFrame:
         """Likely pairs of members of a region in different components, one of them flagged."""
         bucket = F.pmod(F.xxhash64("region"), F.lit(_buckets(docs.sparkSession)))
-        return met.join(signs, "id").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
+        return met.join(signs, "id").join(sketches, "id").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
             _likely_pairs(percent), "a long, b long")
 
     inside = alike(members.join(mixed, "region").withColumn("asks", F.lit(True)))
