@@ -58,3 +58,19 @@ hits as (
   from split left join rules on (host = h or suffix(host, '.' || h)) and starts_with(path, p))
 select page_id, host, path, h || p as rule, coalesce(verdict, 'allow') as verdict from hits where k = 1
 """
+
+ORACLES["op5_repeats"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from d),
+k as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as key
+      from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from d)),
+smallest as (select key, min(doc_id) as m from k group by key),
+bad as (select doc_id, i, 1 as hit from k join smallest using (key) where m < doc_id),
+c as (select doc_id, i, word, max(coalesce(hit, 0)) over (partition by doc_id order by i
+        rows between 49 preceding and current row) as gone from w left join bad using (doc_id, i)),
+s as (select doc_id, sum(gone) as gone, string_agg(word, ' ' order by i) filter (where gone = 0) as kept
+      from c group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(gone, 0) as bigint) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from d left join s using (doc_id)
+"""
