@@ -48,6 +48,7 @@ UNUSED_COLUMNS = [
     "event", "type", "launch_speed_angle",
 ]
 
+# fixed values: what identifies a pitch
 PITCH_KEY = ["game_pk", "at_bat_number", "pitch_number"]
 
 # --- fixed values: events that end a plate appearance --------------------------------------------
@@ -70,6 +71,7 @@ OUTS_ON_EVENT = {
     "sac_fly_double_play": 2, "sacrifice_bunt_double_play": 2,
 }
 
+# fixed values: event and pitch codes by meaning
 HIT_EVENTS = ["single", "double", "triple", "home_run"]
 STRIKEOUT_EVENTS = ["strikeout", "strikeout_double_play"]
 FASTBALL_TYPES = ["FF", "SI", "FT"]
