@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diamondlake.llm import arrays
-from diamondlake.llm.common import text_of
+from diamondlake.llm.common import ship_package, text_of
 
 WORDS, OVERLAP = 5, 0.75
 ANSWER_OVERLAP = 0.5
@@ -264,6 +264,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     parts of about that size, one pass over the documents each. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     listed = items.select(F.col(item_id).cast("long").alias("item_id"), text_of(item_text).alias("text"))
     parts = max(1, -(-listed.count() // max_items))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from diamondlake.llm import arrays
 from diamondlake.llm.components import connected_components
-from diamondlake.llm.common import text_of
+from diamondlake.llm.common import ship_package, text_of
 from diamondlake.session import Stage
 
 WORDS, PERCENT = 5, 75
@@ -176,6 +176,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     the links of all of them count, and all or none are kept. Extra columns are ignored. An empty
     table gives no rows. Texts are read whole, of any length.
     """
+    ship_package(docs.sparkSession)
     stage = Stage(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     signed = stage.put("signed", rows.mapInPandas(

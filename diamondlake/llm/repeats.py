@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from diamondlake.llm import arrays
 from diamondlake.llm import shards as X
+from diamondlake.llm.common import ship_package
 
 WINDOW = 50
 REMOVED = "doc_id long, has_id boolean, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -208,6 +209,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows. Texts are read whole; a shard holds a whole text, so the longest must fit a task.
     Windows are told apart by 64 bits and their bucket.
     """
+    ship_package(docs.sparkSession)
     parts = X.sharded(docs, doc_id, text)
     n = parts.n
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from diamondlake.llm import arrays
 from diamondlake.llm import shards as X
+from diamondlake.llm.common import ship_package
 from diamondlake.llm.suffixes import permuted_prefixes, suffix_array
 
 WINDOW = 100
@@ -273,6 +274,7 @@ def remove_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     table gives no rows. Texts are read whole; a shard holds a whole text, so the longest must fit
     a task. `window` is at most 250.
     """
+    ship_package(docs.sparkSession)
     parts = X.sharded(docs, doc_id, text)
     n = parts.n
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diamondlake.llm.common import text_of
+from diamondlake.llm.common import ship_package, text_of
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -140,6 +140,8 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     columns are ignored; an empty table gives no rows. The plan has no shuffle.
     """
 
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf("long")
     def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = counter(path or default_path()).count
