@@ -6,14 +6,13 @@
   the first values of that order; it starts at the shallowest depth and a region of more than
   REGION members is cut by ever longer prefixes, so the depth adapts to how crowded the place is.
 * At every depth the members of a region are candidates with its smallest id; a confirmed link
-  to it settles most members. Then the members that are still in different components meet: all of
-  a final region, and in a crowded one each with a member drawn by hash, at every depth and tree.
-  So a group of copies never becomes all pairs. Last, members of a crowded region outside its
+  to it settles most members. Then the members of a final region that are still in different
+  components meet, so a group of copies never becomes all pairs. Last, members of a crowded region outside its
   largest component meet the whole region in blocks of REGION, so the depth loses no link.
 * Candidates whose signatures agree on less than LIKELY of the values, or whose set sizes rule the
   similarity out, are dropped; inside regions also those whose SKETCH smallest shingle hashes put
-  the similarity under SURE, which separates a crowd of loosely related texts. The others are
-  confirmed on the shingle sets of the whole texts.
+  the similarity under SURE (under NEARLY where the sketch holds both sets whole), which separates
+  a crowd of loosely related texts. The others are confirmed on the shingle sets of the whole texts.
 
 At a similarity of 0.75 a pair shares the first three values of none of the 20 trees with a
 probability of 2e-5, agrees on less than LIKELY with 2e-5, and is estimated under SURE with 2e-5.
@@ -38,7 +37,7 @@ TREES, DEPTHS = 20, (3, 4, 6, 9, 14)
 VALUES = TREES * DEPTHS[0]
 REGION = 128
 LIKELY = 0.52
-SKETCH, SURE = 256, 0.64
+SKETCH, SURE, NEARLY = 256, 0.64, 0.74
 FULL = np.uint32(0xFFFFFFFF)        # ends a sketch that holds the whole set
 SEED = 11
 
@@ -85,14 +84,15 @@ def _sketch_rows(words: int):
     return rows
 
 
-def _estimates(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """The similarity of a sketch with others, from the hashes up to where both are complete."""
+def _estimated(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether a sketch and others are like enough, by the hashes up to where both are complete."""
     upto = np.minimum(own[-1], others[:, -1])[:, None]
     below = (others <= upto) & (others < FULL)
     at = np.minimum(np.searchsorted(own, others), SKETCH - 1)
     common = (below & (own[at] == others)).sum(axis=1)
     mine = np.searchsorted(own, np.minimum(upto[:, 0], FULL - 1), side="right")
-    return common / np.maximum(mine + below.sum(axis=1) - common, 1)
+    likeness = common / np.maximum(mine + below.sum(axis=1) - common, 1)
+    return likeness >= np.where(upto[:, 0] == FULL, NEARLY, SURE)
 
 
 def _slices(batches: Iterator[pd.DataFrame], columns: list[str],
@@ -148,7 +148,7 @@ def _likely_pairs(percent: int):
             like &= labels[others] != labels[k]
             like &= 100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k])
             others = others[like]
-            met = ids[others[_estimates(sketches[k], sketches[others]) >= SURE]]
+            met = ids[others[_estimated(sketches[k], sketches[others])]]
             out_a.append(np.minimum(met, ids[k]))
             out_b.append(np.maximum(met, ids[k]))
 
@@ -188,7 +188,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
         signed.select("high", "low", F.col("doc_id").alias("id"), "n_shingles", "signature"),
         ["high", "low", "id"]).dropDuplicates(["high", "low", "id"]))
 
-    leaders, drawn, regions, crowds = _forest(heads, stage)
+    leaders, regions, crowds = _forest(heads, stage)
     wanted = stage.put("wanted", regions.select("id").union(leaders.select("a")).union(
         leaders.select("b")).distinct())
     texts = stage.put("texts", rows.withColumnRenamed("doc_id", "id").join(
@@ -227,11 +227,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
         return met.join(signs, "id").join(sketches, "id").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
             _likely_pairs(percent), "a long, b long")
 
-    inside = alike(members.join(mixed, "region").withColumn("asks", F.lit(True)))
-    labels = settled.withColumnRenamed("component", "of")
-    apart = drawn.join(labels.toDF("a", "of_a"), "a", "left").join(labels.toDF("b", "of_b"), "b", "left").filter(
-        F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    pairs = inside.union(apart)
+    pairs = alike(members.join(mixed, "region").withColumn("asks", F.lit(True)))
     second = links("regions", pairs)
     linked = connected_components(first.union(second), stage, "all")
     if not crowds.isEmpty():
@@ -250,8 +246,8 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
 
 
 def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, ...]:
-    """Pairs (a, b) with the smallest id of a region and with one drawn in a crowded region, the
-    final (region, id), and the crowded ones of the first depth as (region, id, n)."""
+    """Pairs (a, b) with the smallest id of a region, the final (region, id), and the crowded ones
+    of the first depth as (region, id, n)."""
     def keyed(rows: DataFrame, depth: int) -> DataFrame:
         """Rows of (tree, id, signature) with the key of their first `depth` values."""
         turned = F.concat(F.slice("signature", F.col("tree") * DEPTHS[0] + 1, VALUES),
@@ -261,20 +257,16 @@ def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, ...]:
 
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = keyed(heads.select("id", "signature", trees), DEPTHS[0])
-    leaders, drawn, final, crowds = [], [], [], None
+    leaders, final, crowds = [], [], None
     for k, depth in enumerate(DEPTHS):
         sizes = rows.groupBy("region").agg(
-            F.count("*").alias("n"), F.min("id").alias("leader"),
-            (F.min(F.col("id").bitwiseXOR(F.col("region")))).alias("drawn")).filter("n > 1").withColumn(
-            "drawn", F.col("drawn").bitwiseXOR(F.col("region")))    # an id, by the bits of the region
+            F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
         met = stage.put(f"depth{depth}", rows.join(sizes, "region"))
         leaders.append(met.filter("id <> leader").select(
             F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
         final.append(met.filter(f"n <= {REGION}").select("region", "id"))
         crowded = met.filter(f"n > {REGION}")
         crowds = crowds or crowded.select("region", "id", "n")
-        drawn.append(crowded.filter("id <> drawn").select(
-            F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("b")))
         if k + 1 == len(DEPTHS):
             # still crowded where signatures hardly differ: cut by id, the leader is met anyway
             final.append(crowded.select(F.xxhash64(
@@ -292,7 +284,6 @@ def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, ...]:
         return out
 
     return (stage.put("leader-pairs", united(leaders).distinct()),
-            stage.put("drawn-pairs", united(drawn).distinct()),
             stage.put("regions", united(final)), crowds)
 
 
