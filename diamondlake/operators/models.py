@@ -173,7 +173,7 @@ def walk_forward(games: DataFrame, features: Sequence[str], settings: Settings |
     """Out-of-fold rows with `p_<member>`, the blend and `fold_idx`; None without usable folds.
 
     The driver loops over fold boundaries only; training sets are date filters of the games, which
-    are written once. Each fold's rows are written as well.
+    are written once. Each fold's rows are written as well and read together, however many folds.
     """
     stage = Stage(games.sparkSession)
     games = stage.put("games", games)
@@ -184,8 +184,9 @@ def walk_forward(games: DataFrame, features: Sequence[str], settings: Settings |
         ens = fit(folds.training_rows(games, f["val_start"]), features, settings)
         val = folds.validation_rows(games, f["val_start"], f["val_end"])
         scored = member_probabilities(ens, val).withColumn("fold_idx", F.lit(f["fold_idx"]))
-        parts.append(stage.put(f"fold_{f['fold_idx']}", scored))
-    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+        stage.put(f"fold_{f['fold_idx']}", scored)
+        parts.append(f"{stage.folder}/fold_{f['fold_idx']}")
+    return games.sparkSession.read.schema(scored.schema).parquet(*parts) if parts else None
 
 
 def roster(oof: DataFrame, deployed: Sequence[str]) -> DataFrame:

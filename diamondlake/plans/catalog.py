@@ -755,8 +755,7 @@ def feature_coverage(spark, d):
 
 # --- models (no SQL form) ---------------------------------------------------------------------------
 
-# Published settings and every model feature the frame has; the number of folds is bounded by
-# max_folds alone. A boosted member of 300 rounds is several hundred small jobs.
+# Published settings, every model feature the frame has and every fold. A boosted member of 300 rounds is several hundred small jobs.
 
 def _model_games(spark, d):
     return Stage(spark).put("model_games", G.enrich_games(B.games(spark, d)).withColumns({
@@ -768,20 +767,20 @@ def _features(g):
     return [c for c in K.FEATURES if c in g.columns]
 
 
-def _newest_fold(spark, d):
+def _every_fold(spark, d):
     g = _model_games(spark, d)
-    return models.walk_forward(g, _features(g), cadence=K.RETRAIN_CADENCE, max_folds=1)
+    return models.walk_forward(g, _features(g), cadence=K.RETRAIN_CADENCE)
 
 
 @query
 def walk_forward_predictions(spark, d):
-    return _newest_fold(spark, d).select("game_pk", "fold_idx", "home_win", "p_boosted_a", "p_boosted_b",
-                                         "p_logistic", "home_win_prob_model")
+    return _every_fold(spark, d).select("game_pk", "fold_idx", "home_win", "p_boosted_a", "p_boosted_b",
+                                        "p_logistic", "home_win_prob_model")
 
 
 @query
 def member_roster(spark, d):
-    return models.roster(_newest_fold(spark, d), list(K.MEMBER_WEIGHTS))
+    return models.roster(_every_fold(spark, d), list(K.MEMBER_WEIGHTS))
 
 
 @query

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import rows_of
+from diamondlake.operators import folds
 from diamondlake.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -39,5 +40,21 @@ def test_only_fitted_models_lack_a_statement():
         "run_line_predictions"}
 
 
+@pytest.mark.parametrize("name", ["walk_forward_predictions", "member_roster"])
+def test_walk_forward_queries_score_every_fold(spark, monkeypatch, name):
+    seen = []
+
+    def scored(games, features, **options):
+        seen.append(folds.fold_table(games, **options).count())
+        return games.selectExpr("*", "0 as fold_idx", *[f"0.5 as {c}" for c in (
+            "p_boosted_a", "p_boosted_b", "p_logistic", "home_win_prob_model")])
+
+    monkeypatch.setattr(catalog.models, "walk_forward", scored)
+    QUERIES[name](spark, FOLDER)
+    dates = spark.read.parquet(f"{FOLDER}/orders.parquet").where("o_orderstatus in ('F', 'O')").select(
+        "o_orderdate").distinct().count()
+    assert seen == [-(-(dates - 7) // 7)] and seen[0] > 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
