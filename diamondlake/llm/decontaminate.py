@@ -9,7 +9,7 @@ A query begins with the terms that an item cannot do without (its rarer ones; th
 stay below the threshold). That bound is taken for all passages of a batch at once; the passages
 that reach it are scored by block-max WAND over the full posting lists. Retrieved passages are
 compared with the item word by word: shingles of the whole item, of its question (all sentences
-but the last) and the words of its answer (the last sentence).
+but the last) and the words of its answer (the last sentence, if it has five words or more).
 """
 
 from __future__ import annotations
@@ -49,11 +49,16 @@ def shingled(words: Sequence[str], width: int = WORDS) -> set[tuple[str, ...]]:
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """The words before the last sentence and those of the last sentence (all if there is one)."""
+    """The words before the last sentence and those of the last sentence.
+
+    Both are all words if there is one sentence, or if the last one is shorter than a shingle: such an
+    end ("N.") is part of the question, as one changed word in it would hide a whole copy.
+    """
     parts = [p for p in re.split(r"(?<=[.?!])[\x20\x09-\x0D]+", text.strip()) if split_words(p)]
     words = [split_words(p) for p in parts]
-    if len(words) < 2:
-        return (words[0] if words else []), (words[0] if words else [])
+    if len(words) < 2 or len(words[-1]) < WORDS:
+        every = [w for p in words for w in p]
+        return every, every
     return [w for p in words[:-1] for w in p], words[-1]
 
 
@@ -255,7 +260,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """One row per document and test item it holds: the best passage's score and overlaps.
 
     A document holds an item if `overlap` of the item's 5-word shingles and `answer_overlap` of the
-    words of its answer are in one passage. Passages are twice as long as the longest item and
+    words of its answer are in one passage; an item that ends in fewer than 5 words has no answer of
+    its own and is judged as a whole. Passages are twice as long as the longest item and
     overlap by half, so no occurrence is cut. score is the BM25 sum over the item's threshold.
 
     Items without words and items with NULL text are never found. NULL or empty documents hold

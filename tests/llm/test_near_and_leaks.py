@@ -107,6 +107,16 @@ def test_leaks_against_brute_force(spark):
     assert clean == {i for i, _ in rows} - {d for d, _ in want}
 
 
+def test_a_changed_last_word_does_not_hide_a_copy(spark):
+    body = "What is the largest number of edges that a graph of n nodes and no triangle can have at most?"
+    items = [(1, body + " N."), (2, body.upper().replace("GRAPH", "forest") + " It is n less one of course.")]
+    docs = frame(spark, [(1, f"so {body} N."), (2, f"so {body} M."), (3, f"so {body} N and on"), (4, body), (5, "N. N.")])
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, tests).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert decontaminate.question_and_answer("a b c d e? f g h i j.") == (list("abcd") + ["e?"], list("fghi") + ["j."])
+
+
 def test_block_max_wand_equals_full_scoring():
     index = decontaminate.Index(bench(5, 60))
     rng = random.Random(1)
