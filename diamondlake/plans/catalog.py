@@ -526,9 +526,8 @@ def upcoming_slate(spark, d):
                 .withColumn("sp_name_home", F.concat(F.lit("First  Last"), "home_starter_id"))
                 .withColumn("sp_name_away", F.concat(F.lit("First Last"), "away_starter_id"))
                 .drop("home_win", "home_score", "away_score"))
-    # the history goes on past the day, the slate must not see it; one league here
-    history = _all_history(spark, d).drop("league").withColumn("league", F.lit("L"))
-    out = slate.build_upcoming_slate(history, SLATE_DAY, schedule,
+    # the history goes on past the day, the slate must not see it
+    out = slate.build_upcoming_slate(_all_history(spark, d), SLATE_DAY, schedule,
                                      slate.name_crosswalk(B.pitches(spark, d)))
     return rounded(out.select(
         "game_id", "game_date", "start_time_utc", "home_team", "away_team", "home_record",

@@ -75,7 +75,8 @@ def build_upcoming_slate(history: DataFrame, day: date, schedule: DataFrame,
     """One row per scheduled game with every model feature; unknown ones are NULL.
 
     Only games before `day` are read from the history, whatever it holds.
-    Results already in the schedule are kept. Rest days are fresh, the rest is the latest state.
+    Results already in the schedule are kept. Ratings belong to (league, team) where the schedule names
+    the league; without it, a team's name must be of one league. Rest days are fresh, the rest is the latest state.
     """
     if "start_time_utc" not in history.columns:
         history = history.withColumn("start_time_utc",
@@ -85,11 +86,11 @@ def build_upcoming_slate(history: DataFrame, day: date, schedule: DataFrame,
     d = F.lit(day).cast("date")
     history = history.where(F.col("game_date") < d)
     elo = (ratings.elo_as_of(history, d.cast("timestamp_ntz"), league=league)
-           .select("team", "elo"))
+           .select(F.col("league").alias("_league"), F.col("team").alias("_team"), "elo"))
+    by_league = league in schedule.columns
     teams = (team_state(history)
              .join(ratings.final_records(history), "team", "full")
-             .join(ratings.last_played(history), "team", "full")
-             .join(elo, "team", "full"))
+             .join(ratings.last_played(history), "team", "full"))
     if {"opp_lefty_share_home", "opp_lefty_share_away"} <= set(history.columns):
         teams = teams.join(own_lefty_share(history), "team", "full")
     else:
@@ -108,10 +109,11 @@ def build_upcoming_slate(history: DataFrame, day: date, schedule: DataFrame,
         .alias("game_id"), d.alias("game_date"), given("start_time_utc", "timestamp_ntz"),
         "home_team", "away_team", text("venue", "Unknown"), given("home_win", "double"),
         given("home_score", "int"), given("away_score", "int"),
-        text("sp_name_home", "TBD"), text("sp_name_away", "TBD"))
+        text("sp_name_home", "TBD"), text("sp_name_away", "TBD"),
+        *([F.col(league).cast("string").alias("_of_league")] if by_league else []))
 
     carried = [c for c in teams.columns if c not in (
-        "team", "wins", "losses", "runs_scored", "runs_allowed", "last_played", "elo",
+        "team", "wins", "losses", "runs_scored", "runs_allowed", "last_played",
         "lefty_share")]
     starters = pitcher_state(history) if "home_starter_id" in history.columns else None
     for side, other in (("home", "away"), ("away", "home")):
@@ -125,9 +127,12 @@ def build_upcoming_slate(history: DataFrame, day: date, schedule: DataFrame,
             pct.alias(f"{side}_win_pct"),
             S.rest_days_to(d, "last_played").alias(f"rest_days_{side}"),
             F.col("lefty_share").alias(f"opp_lefty_share_{other}"),
-            F.col("elo").alias(f"{side}_elo"),
             *[F.col(c).alias(f"{c}_{side}") for c in carried])
         slate = slate.join(state, f"{side}_team", "left")
+        rated = F.col(f"{side}_team") == F.col("_team")
+        if by_league:
+            rated &= F.col("_of_league").eqNullSafe(F.col("_league"))
+        slate = slate.join(elo.withColumnRenamed("elo", f"{side}_elo"), rated, "left").drop("_league", "_team")
         no_games = F.lit(0.0) if zero_for_no_games else F.lit(None).cast("double")
         slate = slate.withColumns({
             f"{side}_wins": F.coalesce(f"{side}_wins", F.lit(0)),
@@ -145,5 +150,6 @@ def build_upcoming_slate(history: DataFrame, day: date, schedule: DataFrame,
             slate = (slate.join(ids, S.player_key(f"sp_name_{side}") == F.col("_key"), "left")
                      .join(lines, F.col("_pid") == F.col("_line_pid"), "left")
                      .drop("_key", "_pid", "_line_pid"))
+    slate = slate.drop("_of_league")
     missing = {c: F.lit(None).cast("double") for c in K.FEATURES if c not in slate.columns}
     return slate.withColumns(missing) if missing else slate

@@ -42,6 +42,20 @@ def built(spark):
     return {r["home_team"]: r.asDict() for r in out.collect()}
 
 
+def test_ratings_of_teams_of_equal_names_by_league(spark):
+    day = dt.date(2026, 8, 20)
+    rows = [(1, day, "A", "B", 1.0, 3, 1, "x"), (2, day, "A", "B", 0.0, 1, 3, "y"), (3, day, "A", "B", 0.0, 1, 3, None)]
+    history = spark.createDataFrame(rows, "game_pk long, game_date date, home_team string, away_team string, "
+                                    "home_win double, home_score int, away_score int, league string")
+    history = history.selectExpr("*", "0.3 as woba_30g_home", "0.3 as woba_30g_away")
+    schedule = spark.createDataFrame([(f"g{lg}", "A", "B", lg) for lg in ("x", "y", None, "new")],
+                                     "game_id string, home_team string, away_team string, league string")
+    out = {r["game_id"]: r for r in slate.build_upcoming_slate(history, TODAY, schedule).collect()}
+    assert len(out) == 4 and out["gx"]["home_elo"] > K.ELO_START > out["gy"]["home_elo"] == out["gNone"]["home_elo"]
+    assert out["gx"]["away_elo"] < K.ELO_START < out["gy"]["away_elo"] and out["gnew"]["home_elo"] == K.ELO_START
+    assert "league" not in out["gx"].asDict()
+
+
 def test_one_row_per_scheduled_game_with_every_feature(built):
     assert set(built) == {"NYY", "LAD"}
     assert set(K.FEATURES) <= set(built["NYY"])
