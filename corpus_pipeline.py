@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diamondlake.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
-from diamondlake.llm.common import table
+from diamondlake.llm.common import table, text_of
 from diamondlake.session import Stage
 
 
@@ -22,8 +22,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    return _without(docs, exact_dedup.exact_dedup(docs).filter("not kept"))
+    """Of equal texts the document with the largest id. Only rows judged copies go: where an id repeats
+    with different texts, its other texts stay."""
+    copies = exact_dedup.exact_dedup(docs).filter("not kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+    copy = (F.col("doc_id") == F.col("_id")) & (F.sha2(text_of(), 256) == F.col("_digest"))
+    return docs.join(copies, copy, "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,6 +78,15 @@ def test_registered():
     assert found["pipeline"] is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 5
 
 
+def test_exact_stage_drops_rows_not_ids(spark):
+    rows = [(5, "A"), (5, "B"), (9, "A"), (7, None), (8, ""), (None, "A"), (None, "C"), (4, "D"), (4, "D")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
+    got = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert got.columns == COLUMNS
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [
+        (0, "A"), (0, "C"), (4, "D"), (4, "D"), (5, "B"), (8, ""), (9, "A")]
+
+
 def test_empty_tables_pass(spark, tmp_path):
     for t, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"),
                       ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
