@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from diamondlake.llm import (
+    clustering,
     decontaminate,
     exact_dedup,
+    line_dedup,
     main_text,
     mixing,
     near_dedup,
     quality,
     repeats,
+    spelling,
     substrings,
     token_counts,
     url_filter,
@@ -81,3 +84,18 @@ def op9_url_filter(spark, d):
 @query
 def op10_near_dedup(spark, d):
     return near_dedup.near_dedup(table(spark, d, "documents"))
+
+
+@query
+def op11_clustering(spark, d):
+    return clustering.cluster_vectors(table(spark, d, "embeddings"))
+
+
+@query
+def op12_line_dedup(spark, d):
+    return line_dedup.drop_repeated_lines(table(spark, d, "documents"), keep_text=False)
+
+
+@query
+def op13_spelling(spark, d):
+    return spelling.spelling_variants(table(spark, d, "documents"), typo_every=97)
