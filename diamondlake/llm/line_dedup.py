@@ -61,11 +61,10 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     judged = known.join(dropped, ["row1", "row2"], "left").select("doc_id", "lines", "gone")
     free = rows.filter("doc_id is null").select("doc_id", "lines", F.lit(None).cast("array<int>").alias("gone"))
-    # the stretches between dropped positions, in order
-    before = F.concat(F.array(F.lit(-1)), "gone")
-    after = F.concat("gone", F.array(F.size("lines")))
-    stretches = F.flatten(F.zip_with(before, after, lambda a, b: F.slice("lines", a + 2, b - a - 1)))
-    kept = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stretches), "\n")
+    # positions are whole numbers, which array_except looks up in a hash set
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    left = F.transform(stay, lambda i: F.get(F.col("lines"), i))
+    kept = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(left), "\n")
     out = judged.unionByName(free).select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
