@@ -130,7 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     picked = docs.select(F.col(doc_id).alias("_id"), text_of(text).alias("_t")).join(
         F.broadcast(stage.put("known", known)), "_id")      # at most `sample` rows
     names = list(statistics())
-    rows = stage.put("rows", with_statistics(picked, "_t").drop("_t", "_id").coalesce(8))
+    # at most `sample` short rows in one partition and one order: sums and draws come out alike every time
+    stats = with_statistics(picked, "_t").drop("_t")
+    rows = stage.put("rows", stats.repartition(1).sortWithinPartitions(
+        F.xxhash64("_id", F.lit(SEED)), *stats.columns).drop("_id")).coalesce(1)
     total, ones = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not total or ones in (0, total):
         share = (ones + 0.5) / (total + 1)
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     flags = VectorAssembler(inputCols=[f"_r{i}" for i in range(len(rules))], outputCol="_x").transform(flags)
     lasso = LogisticRegression(labelCol="_y", featuresCol="_x", elasticNetParam=1.0,
                                regParam=penalty, standardization=False, maxIter=60).fit(
-        stage.put("flags", flags.select("_y", "_x")))
+        stage.put("flags", flags.select("_y", "_x")).coalesce(1))
     kept = {r: float(w) for r, w in zip(rules, lasso.coefficients) if abs(w) > 1e-6}
     return RuleModel(float(lasso.intercept), kept)
 

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -64,7 +65,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_same_rows_as_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     df, result = QUERIES[name](spark, FOLDER), con.execute(ORACLES[name])
     names = [c[0] for c in result.description]
@@ -74,7 +75,7 @@ def test_same_rows_as_sql(spark, name):
 
 def test_registered():
     found = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in found if k.startswith("op")} - {"op"}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in found if k.startswith("op")} - {"op"}
     assert found["pipeline"] is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 5
 
 
@@ -92,3 +93,15 @@ def test_empty_tables_pass(spark, tmp_path):
                       ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@tables
+@pytest.mark.parametrize("k", range(5))
+def test_extra_columns_of_any_name_come_through(spark, k):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    names = ["predicted", "_text", "_words", "_id", "_digest", "id", "digest", "row", "copy", "score"]
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} of "), "doc_id").alias(n) for n in names])
+    out = corpus_pipeline.STAGES[k][1](spark, docs, FOLDER)
+    assert out.columns == docs.columns + (["copy_"] if k == 4 else [])
+    for r in out.collect():
+        assert all(r[n] == f"{n} of {r.doc_id}" for n in names)

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from diamondlake.llm import quality
@@ -52,3 +54,36 @@ def test_odd_rows_and_missing_labels(spark):
     got = quality.score(spark.createDataFrame([(1, "A!! B!!"), (2, "A b"), (3, None)], "doc_id long, text string"), model)
     assert [round(r.score, 3) for r in got.orderBy("doc_id").collect()] == [0.052, 0.525, 0.525]
     assert quality.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_the_model_does_not_depend_on_the_partitions(spark):
+    rows, labels = made(160)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    given = spark.createDataFrame(labels, LABELS)
+    models = [quality.fit(docs.repartition(n, "text"), given.repartition(n)) for n in (2, 8, 32)]
+    assert models[0] == models[1] == models[2] and models[0].weights
+
+
+def test_statistics_and_scores_against_brute_force(spark):
+    texts = ["", None, "Two words.", "A, b; c: D!! | # x\n\nÉ 7 7 7", "w " * 3000, "\x00 nul\x0bvt", "ends?\n" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality.with_statistics(docs).collect()}
+    caps = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÈÉÊËÎÏÔÙÛÑÁÍÓÚ"
+    for i, t in enumerate(texts):
+        t = t or ""
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+        k, n = max(len(words), 1), max(len(t), 1)
+        rate = lambda chars, of: sum(c in chars for c in t) / of  # noqa: E731, B023
+        want = {"words": min(k, 2000), "word_length": len(t) / k, "distinct": len(set(words)) / k,
+                "capitals": rate(caps, n), "digits": rate("0123456789", n), "stops": rate(".?", k),
+                "commas": rate(",;:", k), "shouts": rate("!", k), "bars": rate("|", k),
+                "marks": rate(quality.MARKS, k), "lines": rate("\n", k)}
+        for name, value in want.items():
+            assert abs(rows[i][f"_s_{name}"] - value) < 1e-12, (i, name)
+    rules = {quality.Rule((("digits", True, 0.05), ("words", False, 9.0))): 2.0,
+             quality.Rule((("distinct", False, 0.5),)): -1.5}
+    for r in quality.score(docs, quality.RuleModel(0.25, rules)).collect():
+        s = rows[r.doc_id]
+        total = 0.25 + 2.0 * (s._s_digits > 0.05 and s._s_words <= 9) - 1.5 * (s._s_distinct <= 0.5)
+        p = 1 / (1 + math.exp(-total))
+        assert abs(r.score - p) < 1e-12 and r.predicted == int(p >= 0.7)
