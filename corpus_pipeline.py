@@ -1,8 +1,10 @@
 """The corpus pipeline: STAGES in order, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns rows with the columns of documents; the last
-one adds `copy`, the number of each emitted copy. Rows with a NULL id cannot be named in a decision
-about ids and pass the stages 8, 10 and 2. Empty tables pass as empty tables.
+one adds `copy`, the number of each emitted copy (`copy_` where documents have a `copy`). Rows with a
+NULL id cannot be named in a decision about ids and pass the stages 8, 10 and 2. Empty tables pass as
+empty tables. Rows travel as one struct beside what a stage computes, so extra columns of any name come
+through unchanged.
 """
 
 from __future__ import annotations
@@ -18,16 +20,20 @@ from diamondlake.session import Stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble predicts as label 1."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, column="_score").filter("predicted = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_of().alias("text"))
+    # written, as a filter on the score would move below the statistics and repeat them for each term
+    scored = Stage(spark).put("scored", quality.score(rows, model).select("row", "predicted"))
+    return scored.filter("predicted = 1").select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id. Only rows judged copies go: where an id repeats
     with different texts, its other texts stay."""
     copies = exact_dedup.exact_dedup(docs).filter("not kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
-    copy = (F.col("doc_id") == F.col("_id")) & (F.sha2(text_of(), 256) == F.col("_digest"))
-    return docs.join(copies, copy, "left_anti").select(*docs.columns)
+        F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"),
+                       F.sha2(text_of(), 256).alias("digest"))
+    return rows.join(copies, ["id", "digest"], "left_anti").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources take them."""
     mixed = mixing.mix(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source"),
                        keep=["_row"])
-    return mixing.emitted(mixed).select("_row.*", "copy")
+    number = "copy" if "copy" not in docs.columns else "copy_"
+    return mixing.emitted(mixed).select("_row.*", F.col("copy").alias(number))
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
