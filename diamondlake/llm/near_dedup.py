@@ -2,17 +2,20 @@
 
 * One pass over the texts gives each document its number of shingles, a 128-bit digest of its
   shingle set and a signature. Documents of one set are folded into the smallest id.
-* Each tree orders the signature values from another place. A region is all documents that share
-  the first values of that order; it starts at the shallowest depth and a region of more than
-  REGION members is cut by ever longer prefixes, so the depth adapts to how crowded the place is.
-* At every depth the members of a region are candidates with its smallest id; a confirmed link
-  to it settles most members. Then the members of a final region that are still in different
-  components meet, so a group of copies never becomes all pairs. Last, members of a crowded region outside its
-  largest component meet the whole region in blocks of REGION, so the depth loses no link.
+* Each tree sorts the signatures, turned to begin at a place of its own. A region is all documents that
+  share the first values of that order; inside it the neighbours in the order, who have the longest common
+  prefixes, are candidates. Rows are members x trees, whatever the size of a group. A region of more than
+  SORTED members is sorted in parts by longer prefixes.
+* Regions are cut by ever longer prefixes until they have at most REGION members, so the depth adapts
+  to how crowded a place is. Members of such a region that are still in different components meet.
+* Members of regions that were too crowded for that, and of several components, meet through their rarest
+  shingles: shingles that one component alone holds come first, then the others by number of holders, and
+  two sets of the wanted similarity share one of the first quarter. It is exact, and a group of copies or a
+  common passage adds nothing, as what they share is not rare or not shared with others.
 * Candidates whose signatures agree on less than LIKELY of the values, or whose set sizes rule the
-  similarity out, are dropped; inside regions also those whose SKETCH smallest shingle hashes put
-  the similarity under SURE (under NEARLY where the sketch holds both sets whole), which separates
-  a crowd of loosely related texts. The others are confirmed on the shingle sets of the whole texts.
+  similarity out, are dropped (at first on 4 bits of each value, which only overestimates); inside
+  regions also those whose SKETCH smallest shingle hashes put the similarity under SURE (under NEARLY
+  where the sketch holds both sets whole). The others are confirmed on the shingle sets of the whole texts.
 
 At a similarity of 0.75 a pair shares the first three values of none of the 20 trees with a
 probability of 2e-5, agrees on less than LIKELY with 2e-5, and is estimated under SURE with 2e-5.
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diamondlake.llm import arrays
@@ -35,7 +38,8 @@ from diamondlake.session import Stage
 WORDS, PERCENT = 5, 75
 TREES, DEPTHS = 20, (3, 4, 6, 9, 14)
 VALUES = TREES * DEPTHS[0]
-REGION = 128
+REGION, SORTED = 128, 20_000
+ROWS = 4_096                        # members of regions that one group of tasks compares
 LIKELY = 0.52
 SKETCH, SURE, NEARLY = 256, 0.64, 0.74
 FULL = np.uint32(0xFFFFFFFF)        # ends a sketch that holds the whole set
@@ -68,10 +72,29 @@ def _signature_rows(words: int):
                     least = np.minimum.reduceat((every * factors[k] + shifts[k]) >> np.uint64(32), at)
                     signs[part, k] = least.astype(np.uint32).view(np.int32)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "high": high,
-                                "low": low, "signature": list(signs)})
+                                "low": low, "signature": list(signs), "brief": list(_brief(signs))})
     return rows
 
 
+def _brief(signs: np.ndarray) -> np.ndarray:
+    """The lowest 4 bits of each value, 16 in a long, filled up with zeros."""
+    wide = np.zeros((len(signs), -(-VALUES // 16) * 16), np.uint64)
+    wide[:, :VALUES] = signs & 15
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
+    return (wide.reshape(len(signs), -1, 16) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two briefs agree on LIKELY of the values or more: nibbles of their XOR that are not 0 differ."""
+    differ = F.lit(0)
+    for k in range(-(-VALUES // 16)):
+        x = a[k].bitwiseXOR(b[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ += F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= VALUES - int(LIKELY * VALUES)
+
+
 def _sketch_rows(words: int):
     """The upper halves of the SKETCH smallest shingle hashes of each text, in order."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,46 +147,45 @@ def _confirmed(words: int, percent: int):
     return rows
 
 
-def _buckets(spark: SparkSession) -> int:
-    """Groups of regions, a few for each shuffle partition."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _likely_pairs(percent: int):
-    """Pairs of a region in different components with like signatures: those who ask with the
-    others, or with each other where all ask."""
+    """Pairs of a region in different components with like signatures."""
     def pairs(rows):
         rows = rows.sort_values(["region", "id"])
         ids, labels = rows["id"].to_numpy(), rows["component"].to_numpy()
         sizes = rows["n_shingles"].to_numpy()
-        asks = rows["asks"].to_numpy(dtype=bool)
         signs = np.stack(rows["signature"].to_numpy())
         sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint32).reshape(-1, SKETCH)
         regions = rows["region"].to_numpy()
         cut = np.flatnonzero(np.append(True, regions[1:] != regions[:-1]))
-        out_a, out_b = [], []
-
-        def meet(k: int, others: np.ndarray) -> None:
-            like = (signs[others] == signs[k]).sum(axis=1) >= int(LIKELY * VALUES)
-            like &= labels[others] != labels[k]
-            like &= 100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k])
-            others = others[like]
-            met = ids[others[_estimated(sketches[k], sketches[others])]]
-            out_a.append(np.minimum(met, ids[k]))
-            out_b.append(np.maximum(met, ids[k]))
-
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(rows)).tolist()):
-            every = np.arange(lo, hi)
-            asking, there = every[asks[lo:hi]], every[~asks[lo:hi]]
-            for k in there.tolist():
-                meet(k, asking)
-            for k in every[:-1].tolist() if not len(there) else ():     # all ask each other
-                meet(k, np.arange(k + 1, hi))
-        out_a, out_b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (out_a, out_b))
-        return pd.DataFrame({"a": out_a, "b": out_b}).drop_duplicates()
+            for k in range(lo, hi - 1):
+                others = np.arange(k + 1, hi)
+                like = (signs[others] == signs[k]).sum(axis=1) >= int(LIKELY * VALUES)
+                like &= labels[others] != labels[k]
+                like &= 100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k])
+                others = others[like]
+                met = ids[others[_estimated(sketches[k], sketches[others])]]
+                out_a.append(np.minimum(met, ids[k]))
+                out_b.append(np.maximum(met, ids[k]))
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
     return pairs
 
 
+def _shingle_rows(words: int):
+    """(id, component, n, shingle): the distinct shingles of each text."""
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _slices(batches, ["text"], 1 << 18):
+            sets = arrays.shingle_sets(arrays.encoded(batch["text"]), words)
+            sizes = [len(s) for s in sets]
+            at = np.repeat(np.arange(len(sets)), sizes)
+            yield pd.DataFrame({
+                "id": batch["id"].to_numpy()[at], "component": batch["component"].to_numpy()[at],
+                "n": np.asarray(sizes, np.int64)[at],
+                "shingle": np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)})
+    return rows
+
+
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
@@ -181,16 +203,16 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     signed = stage.put("signed", rows.mapInPandas(
         _signature_rows(words),
-        "doc_id long, n_shingles long, high long, low long, signature array<int>"))
+        "doc_id long, n_shingles long, high long, low long, signature array<int>, brief array<long>"))
     groups = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("high", "low").agg(
         F.min("doc_id").alias("id"))
     heads = stage.put("heads", groups.join(
-        signed.select("high", "low", F.col("doc_id").alias("id"), "n_shingles", "signature"),
+        signed.select("high", "low", F.col("doc_id").alias("id"), "n_shingles", "signature", "brief"),
         ["high", "low", "id"]).dropDuplicates(["high", "low", "id"]))
 
-    leaders, regions, crowds = _forest(heads, stage)
-    wanted = stage.put("wanted", regions.select("id").union(leaders.select("a")).union(
-        leaders.select("b")).distinct())
+    neighbours, regions, crowds = _forest(heads, stage)
+    wanted = stage.put("wanted", regions.select("id").union(neighbours.select("a")).union(
+        neighbours.select("b")).union(crowds.select("id")).distinct())
     texts = stage.put("texts", rows.withColumnRenamed("doc_id", "id").join(
         wanted, "id", "left_semi").distinct())
 
@@ -212,7 +234,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
         groups, ["high", "low"]).select("doc_id", "id")
     twice = held.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
     same_id = twice.join(held, "doc_id").select("a", F.col("id").alias("b")).filter("a <> b")
-    first = links("leaders", leaders).union(stage.put("same-id", same_id))
+    first = links("neighbours", neighbours).union(stage.put("same-id", same_id))
     settled = connected_components(first, stage, "first")
     members = stage.put("members", regions.join(settled, "id", "left").select(
         "region", "id", F.coalesce("component", "id").alias("component")))
@@ -221,17 +243,14 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     signs = heads.select("id", "n_shingles", "signature")
     sketches = stage.put("sketches", texts.mapInPandas(_sketch_rows(words), "id long, sketch binary"))
 
-    def alike(met: DataFrame) -> DataFrame:
-        """Likely pairs of members of a region in different components, one of them flagged."""
-        bucket = F.pmod(F.xxhash64("region"), F.lit(_buckets(docs.sparkSession)))
-        return met.join(signs, "id").join(sketches, "id").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
-            _likely_pairs(percent), "a long, b long")
-
-    pairs = alike(members.join(mixed, "region").withColumn("asks", F.lit(True)))
+    open_ = stage.put("open", members.join(mixed, "region").join(signs, "id").join(sketches, "id"))
+    buckets = max(1, open_.count() // ROWS)
+    pairs = open_.groupBy(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket")).applyInPandas(
+        _likely_pairs(percent), "a long, b long")
     second = links("regions", pairs)
     linked = connected_components(first.union(second), stage, "all")
     if not crowds.isEmpty():
-        third = links("crowds", alike(_outsiders(crowds, linked, stage)))
+        third = links("crowds", _rare_pairs(crowds, linked, texts, heads, stage, words, percent))
         linked = connected_components(first.union(second).union(third), stage, "last")
 
     member = signed.select("doc_id", "n_shingles", "high", "low")
@@ -246,36 +265,34 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
 
 
 def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, ...]:
-    """Pairs (a, b) with the smallest id of a region, the final (region, id), and the crowded ones
-    of the first depth as (region, id, n)."""
-    def keyed(rows: DataFrame, depth: int) -> DataFrame:
-        """Rows of (tree, id, signature) with the key of their first `depth` values."""
-        turned = F.concat(F.slice("signature", F.col("tree") * DEPTHS[0] + 1, VALUES),
-                          F.col("signature"))
-        return rows.select("tree", "id", F.xxhash64(
-            "tree", F.slice(turned, 1, depth)).alias("region"))
-
+    """Likely pairs (a, b) of neighbours in the orders, the final (region, id), and the crowded ones of the
+    first depth as (region, id)."""
+    turned = F.slice(F.concat(F.slice("signature", F.col("tree") * DEPTHS[0] + 1, VALUES), F.col("signature")),
+                     1, DEPTHS[-1])
+    prefix = lambda depth: F.xxhash64("tree", F.slice("order", 1, depth)).alias("region")
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = keyed(heads.select("id", "signature", trees), DEPTHS[0])
-    leaders, final, crowds = [], [], None
+    rows = heads.select("id", "brief", "signature", trees).select(
+        "tree", "id", "brief", turned.alias("order"), F.lit(True).alias("unsorted"))
+    rows = rows.withColumn("region", prefix(DEPTHS[0]))
+    pairs, final, crowds = [], [], None
     for k, depth in enumerate(DEPTHS):
-        sizes = rows.groupBy("region").agg(
-            F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
+        sizes = rows.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
         met = stage.put(f"depth{depth}", rows.join(sizes, "region"))
-        leaders.append(met.filter("id <> leader").select(
-            F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+        last = k + 1 == len(DEPTHS)
+        # what is still crowded at the last depth hardly differs; it is cut by id
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SORTED)) if last else F.lit(0)
+        order = Window.partitionBy("region", "part").orderBy("order", "id")
+        side = met.filter("unsorted" if last else f"unsorted and n <= {SORTED}").withColumn("part", part).select(
+            "id", "brief", F.lag("id").over(order).alias("near"), F.lag("brief").over(order).alias("of_near"))
+        pairs.append(side.filter(F.col("near").isNotNull() & _alike(F.col("brief"), F.col("of_near"))).select(
+            F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct())
         final.append(met.filter(f"n <= {REGION}").select("region", "id"))
         crowded = met.filter(f"n > {REGION}")
-        crowds = crowds or crowded.select("region", "id", "n")
-        if k + 1 == len(DEPTHS):
-            # still crowded where signatures hardly differ: cut by id, the leader is met anyway
-            final.append(crowded.select(F.xxhash64(
-                "region", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / REGION))).alias("region"), "id"))
-        elif crowded.isEmpty():
+        crowds = crowds or crowded.select("region", "id")
+        if last or crowded.isEmpty():
             break
-        else:
-            rows = keyed(crowded.select("tree", "id").join(
-                heads.select("id", "signature"), "id"), DEPTHS[k + 1])
+        rows = crowded.select("tree", "id", "brief", "order", F.expr(f"unsorted and n > {SORTED}").alias("unsorted"),
+                              prefix(DEPTHS[k + 1]))
 
     def united(parts):
         out = parts[0]
@@ -283,25 +300,35 @@ def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, ...]:
             out = out.union(p)
         return out
 
-    return (stage.put("leader-pairs", united(leaders).distinct()),
-            stage.put("regions", united(final)), crowds)
+    return stage.put("neighbours", united(pairs).distinct()), stage.put("regions", united(final)), crowds
+
 
+def _rare_pairs(crowds: DataFrame, linked: DataFrame, texts: DataFrame, heads: DataFrame, stage: Stage,
+                words: int, percent: int) -> DataFrame:
+    """Likely pairs of members of crowded regions in different components that share one of their rarest shingles.
 
-def _outsiders(crowds: DataFrame, linked: DataFrame, stage: Stage) -> DataFrame:
-    """(region, id, component, asks): blocks of crowded regions, with the members outside the
-    largest component of the region (asking) in every block."""
+    All sets follow one order of shingles: first those of a single component, then by number of holders. Of two
+    sets of n and m shingles with the wanted similarity, the first n - ceil(n * percent / 100) + 1 of the one and of
+    the other have one in common.
+    """
     named = stage.put("crowd", crowds.join(linked, "id", "left").select(
-        "region", "id", F.coalesce("component", "id").alias("component"),
-        F.ceil(F.col("n") / REGION).cast("int").alias("blocks")))
-    sizes = named.groupBy("region", "component").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("region").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    placed = named.join(largest, "region")
-    block = lambda b: F.xxhash64("region", b).alias("region")
-    outside = placed.filter("component <> main")
-    asking = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        block("block"), "id", "component", F.lit(True).alias("asks"))
-    open_ = outside.select("region").distinct()
-    there = placed.join(open_, "region", "left_semi").select(
-        block(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "id", "component",
-        F.lit(False).alias("asks"))
-    return asking.union(there)
+        "region", "id", F.coalesce("component", "id").alias("component")))
+    several = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    members = named.join(several.select("region"), "region", "left_semi").select("id", "component").distinct()
+    rows = stage.put("shingles", texts.join(members, "id").select("id", "component", "text").mapInPandas(
+        _shingle_rows(words), "id long, component long, n long, shingle long"))
+    shared = stage.put("shared", rows.groupBy("shingle").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("holders"))
+        .filter("x < y").select("shingle", "holders"))
+    held = rows.join(shared, "shingle")
+    own = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "shingle"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = stage.put("rare", held.withColumn("place", place).filter(F.col("place") <= first).select(
+        "id", "component", "n", "shingle").join(heads.select("id", "brief"), "id"))
+    a, b = rare.alias("a"), rare.alias("b")
+    return a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.id") < F.col("b.id"))
+                  & (F.col("a.component") != F.col("b.component"))
+                  & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+                  & _alike(F.col("a.brief"), F.col("b.brief"))).select(
+        F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()

@@ -139,3 +139,54 @@ def test_leaks_empty_tables(spark):
     one = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
     assert sorted((r.doc_id or 0, r.item_id) for r in decontaminate.find_leaks(docs, one).collect()) == [(0, 7), (1, 7), (1, 7)]
     assert decontaminate.find_leaks(spark.createDataFrame([], EMPTY), one).count() == 0
+
+
+def crowd(seed=6, n=420):
+    """A passage that all share (about half of each text), pairs and triples of near copies among them, chains
+    from one to another, and a group of copies of one text with outsiders just above and below the limit."""
+    rng = random.Random(seed)
+    passage = [f"p{k}" for k in range(60)]
+    rows, fresh = [], lambda k: [f"u{rng.randrange(10 ** 9)}" for _ in range(k)]
+    while len(rows) < n:
+        own = fresh(rng.randint(40, 70))
+        for _ in range(rng.choice([1, 1, 1, 2, 3])):
+            w = list(own)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = fresh(1)[0]
+            rows.append((len(rows), " ".join(passage + w)))
+    base = passage + fresh(60)
+    for k in range(300):
+        w = list(base)
+        w[60 + k % 60] = f"v{k}"
+        rows.append((1000 + k, " ".join(w)))
+    for k in range(60):                            # one word longer or shorter around the limit
+        rows.append((5000 + k, " ".join(base[:104 - k % 20] + fresh(12))))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("sorted_", [near_dedup.SORTED, 50])
+def test_crowded_regions_lose_no_link(spark, monkeypatch, sorted_):
+    monkeypatch.setattr(near_dedup, "REGION", 16)
+    monkeypatch.setattr(near_dedup, "SORTED", sorted_)
+    rows = crowd()
+    want = components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(frame(spark, rows)).collect()}
+    assert got == want
+    assert len(set(c for _, c in want.values())) > 100
+
+
+def test_briefs_count_equal_values(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    signs = rng.integers(-2 ** 31, 2 ** 31, (200, near_dedup.VALUES)).astype(np.int32)
+    for i in range(100):
+        keep = rng.random(near_dedup.VALUES) < i / 100
+        signs[100 + i, keep] = signs[i, keep]
+    brief = near_dedup._brief(signs)
+    rows = spark.createDataFrame([(i, brief[i].tolist(), brief[100 + i].tolist()) for i in range(100)],
+                                 "i int, a array<long>, b array<long>")
+    got = {r.i: r.like for r in rows.select("i", near_dedup._alike(rows.a, rows.b).alias("like")).collect()}
+    for i in range(100):
+        same = ((signs[i] & 15) == (signs[100 + i] & 15)).sum()
+        assert got[i] == (same >= int(near_dedup.LIKELY * near_dedup.VALUES))
