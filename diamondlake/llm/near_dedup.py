@@ -148,19 +148,23 @@ def _confirmed(words: int, percent: int):
 
 
 def _likely_pairs(percent: int):
-    """Pairs of a region in different components with like signatures."""
+    """Pairs of a region in different components with like signatures. Where a region has two sides, only
+    members of different sides meet."""
     def pairs(rows):
         rows = rows.sort_values(["region", "id"])
         ids, labels = rows["id"].to_numpy(), rows["component"].to_numpy()
         sizes = rows["n_shingles"].to_numpy()
         signs = np.stack(rows["signature"].to_numpy())
         sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint32).reshape(-1, SKETCH)
-        regions = rows["region"].to_numpy()
+        regions, sides = rows["region"].to_numpy(), rows["side"].to_numpy()
         cut = np.flatnonzero(np.append(True, regions[1:] != regions[:-1]))
         out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(rows)).tolist()):
+            two = sides[lo:hi].min() != sides[lo:hi].max()
             for k in range(lo, hi - 1):
                 others = np.arange(k + 1, hi)
+                if two:
+                    others = others[sides[others] != sides[k]]
                 like = (signs[others] == signs[k]).sum(axis=1) >= int(LIKELY * VALUES)
                 like &= labels[others] != labels[k]
                 like &= 100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k])
@@ -243,14 +247,17 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     signs = heads.select("id", "n_shingles", "signature")
     sketches = stage.put("sketches", texts.mapInPandas(_sketch_rows(words), "id long, sketch binary"))
 
-    open_ = stage.put("open", members.join(mixed, "region").join(signs, "id").join(sketches, "id"))
-    buckets = max(1, open_.count() // ROWS)
-    pairs = open_.groupBy(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket")).applyInPandas(
-        _likely_pairs(percent), "a long, b long")
+    def likely(name: str, met: DataFrame) -> DataFrame:
+        """Likely pairs of regions (region, side, id, component), whose members are some thousands at most."""
+        rows = stage.put(name, met.join(signs, "id").join(sketches, "id"))
+        bucket = F.pmod(F.xxhash64("region"), F.lit(max(1, rows.count() // ROWS)))
+        return rows.groupBy(bucket.alias("bucket")).applyInPandas(_likely_pairs(percent), "a long, b long")
+
+    pairs = likely("open", members.join(mixed, "region").withColumn("side", F.lit(0)))
     second = links("regions", pairs)
     linked = connected_components(first.union(second), stage, "all")
     if not crowds.isEmpty():
-        third = links("crowds", _rare_pairs(crowds, linked, texts, heads, stage, words, percent))
+        third = links("crowds", likely("met", _rare_regions(crowds, linked, texts, stage, words, percent)))
         linked = connected_components(first.union(second).union(third), stage, "last")
 
     member = signed.select("doc_id", "n_shingles", "high", "low")
@@ -303,9 +310,10 @@ def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, ...]:
     return stage.put("neighbours", united(pairs).distinct()), stage.put("regions", united(final)), crowds
 
 
-def _rare_pairs(crowds: DataFrame, linked: DataFrame, texts: DataFrame, heads: DataFrame, stage: Stage,
-                words: int, percent: int) -> DataFrame:
-    """Likely pairs of members of crowded regions in different components that share one of their rarest shingles.
+def _rare_regions(crowds: DataFrame, linked: DataFrame, texts: DataFrame, stage: Stage,
+                  words: int, percent: int) -> DataFrame:
+    """Members of crowded regions that have one of their rarest shingles in common, as regions (region, side, id,
+    component). A shingle of more than ROWS members is cut into blocks, and every two blocks form a region.
 
     All sets follow one order of shingles: first those of a single component, then by number of holders. Of two
     sets of n and m shingles with the wanted similarity, the first n - ceil(n * percent / 100) + 1 of the one and of
@@ -325,10 +333,12 @@ def _rare_pairs(crowds: DataFrame, linked: DataFrame, texts: DataFrame, heads: D
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "shingle"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rare = stage.put("rare", held.withColumn("place", place).filter(F.col("place") <= first).select(
-        "id", "component", "n", "shingle").join(heads.select("id", "brief"), "id"))
-    a, b = rare.alias("a"), rare.alias("b")
-    return a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.id") < F.col("b.id"))
-                  & (F.col("a.component") != F.col("b.component"))
-                  & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-                  & _alike(F.col("a.brief"), F.col("b.brief"))).select(
-        F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+        "id", "component", "shingle"))
+    met = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("x"),
+                                      F.max("component").alias("y")).filter("x < y")
+    blocks = F.ceil(F.col("n") / ROWS).cast("int")
+    dealt = rare.join(met, "shingle").select(
+        "shingle", "id", "component", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("side"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return dealt.select(F.xxhash64("shingle", F.least("side", "other"), F.greatest("side", "other")).alias("region"),
+                        "side", "id", "component")

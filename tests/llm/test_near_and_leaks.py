@@ -169,6 +169,7 @@ def crowd(seed=6, n=420):
 def test_crowded_regions_lose_no_link(spark, monkeypatch, sorted_):
     monkeypatch.setattr(near_dedup, "REGION", 16)
     monkeypatch.setattr(near_dedup, "SORTED", sorted_)
+    monkeypatch.setattr(near_dedup, "ROWS", sorted_ // 2)
     rows = crowd()
     want = components(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(frame(spark, rows)).collect()}
