@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from types import SimpleNamespace
 
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from diamondlake import constants as K
 from diamondlake.functions import scalars as S
 from diamondlake.operators import appearances as A
-from diamondlake.operators import drift, folds, metrics, models, ratings
+from diamondlake.operators import boosting, drift, folds, metrics, models, ratings
 from diamondlake.operators import prior
 from diamondlake.plans import bindings as B
 from diamondlake.plans import game_features as G
@@ -905,6 +906,54 @@ def given_attributions(spark, d):
     return models.attributions(ens, B.games(spark, d), "game_pk")
 
 
+# one round of two levels of each boosted head, on every row and with missing values
+_ROUND = boosting.Growth(rounds=1, depth=2, subsample=1.0)
+_TREE_INPUTS = ["o_totalprice", "home_starter", "prob"]
+
+
+def _tree_inputs(spark, d):
+    return _inputs(spark, d).withColumns({"total_runs": F.col("home_score") + F.col("away_score"),
+                                          "cover": models.cover_label()})
+
+
+@query
+def boosted_tree(spark, d):
+    """The nodes of the first tree of the win head: splits with their place for missing values, and values."""
+    forest = boosting.boost(_tree_inputs(spark, d), _TREE_INPUTS, "home_win", _ROUND)
+    nodes = [(k, n.feature, n.cut, n.missing_left if n.feature else None, n.gain if n.feature else None, n.value)
+             for tree in forest.trees for k, n in tree.items()]
+    return rounded(spark.createDataFrame(
+        nodes, "node int, feature string, cut double, missing_left boolean, gain double, value double"))
+
+
+@query
+def totals_round(spark, d):
+    """Run totals by the mean and one tree under squared loss."""
+    g = _tree_inputs(spark, d)
+    forest = boosting.boost(g, _TREE_INPUTS, "total_runs", replace(_ROUND, loss="squared"))
+    return rounded(g.select("game_pk", "total_runs", forest.prediction().alias("predicted")))
+
+
+@query
+def run_line_round(spark, d):
+    """Cover probabilities by one tree."""
+    g = _tree_inputs(spark, d)
+    forest = boosting.boost(g, _TREE_INPUTS, "cover", _ROUND)
+    return rounded(g.select("game_pk", "cover", forest.prediction().alias("predicted")))
+
+
+@query
+def forest_attributions(spark, d):
+    """Path-wise shares of a given forest of two trees, one with a place for missing values."""
+    leaf = boosting.Node
+    forest = boosting.Forest(0.1, [
+        {1: leaf(0.02, "o_totalprice", 150000.0), 2: leaf(-0.3, "home_starter", 40.0, missing_left=True),
+         3: leaf(0.4), 4: leaf(-0.5), 5: leaf(0.125)},
+        {1: leaf(-0.01, "home_starter", None), 2: leaf(0.05, "o_totalprice", 90000.0), 3: leaf(-0.2),
+         4: leaf(0.25), 5: leaf(-0.07)}])
+    return boosting.tree_attributions(forest, _tree_inputs(spark, d), _TREE_INPUTS, "game_pk")
+
+
 # --- round trips ------------------------------------------------------------------------------------
 
 @query

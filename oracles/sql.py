@@ -874,6 +874,70 @@ att as (select game_pk, game_date, feature, attribution,
  cast(row_number() over (partition by game_pk order by abs(attribution) desc, feature) as int) as rank from sh)"""
 O["given_attributions"] = f"""with {_SHARES} select * exclude (game_date) from att"""
 O["attributions_read_back"] = O["given_attributions"]
+
+
+def _boosted(label: str, squared: bool) -> str:
+    """CTEs of one round of two levels: e1 and e2 hold the split of each node, n1 to n3 the node of each game."""
+    probs = ", ".join(f"{i} / 32.0e0" for i in range(1, 32))
+    base = "(select avg(y) from tr)" if squared else "0.0e0"
+    grad, curve = (f"{base} - y", "1.0e0") if squared else ("0.5e0 - y", "0.25e0")
+    levels = ""
+    for k in (1, 2):
+        sums = ", ".join(f"sum({c}) over (partition by node, f) as a{c}, coalesce(sum(case when b is null then {c} end) "
+                         f"over (partition by node, f), 0) as m{c}, sum({c}) over (partition by node, f order by b nulls "
+                         f"last rows unbounded preceding) as l{c}" for c in "ghn")
+        levels += f""",
+h{k} as (select node, f, b, sum(g) as g, sum(h) as h, count(*) as n from n{k} join b using (game_pk)
+  where g is not null group by node, f, b),
+c{k} as (select node, f, b, {sums} from h{k}),
+d{k} as (select node, f, b, dir, ag, ah, an, lg + case when dir then mg else 0 end as g,
+  lh + case when dir then mh else 0 end as h, ln + case when dir then mn else 0 end as n
+  from c{k}, (values (false), (true)) t(dir) where b is not null),
+e{k} as (select *, round(g * g / (h + 1) + (ag - g) * (ag - g) / (ah - h + 1) - ag * ag / (ah + 1), 9) as gain from d{k}
+  where least(n, an - n) >= 1 and least(h, ah - h) >= 1 and gain > 0
+  qualify row_number() over (partition by node order by gain desc, f, b, dir) = 1),
+n{k + 1} as (select n.game_pk, case when e.node is null then n.node
+    when coalesce(b.b <= e.b, e.dir) then 2 * n.node else 2 * n.node + 1 end as node, n.g, n.h
+  from n{k} n left join e{k} e using (node) left join b on b.game_pk = n.game_pk and b.f = e.f)"""
+    return f"""{GAMES},
+tr as (select game_pk, cast({label} as double) as y, o_totalprice as x0,
+  case when game_pk % 3 > 0 then cast(home_starter_id as double) end as x1, prob as x2 from games),
+long as (select game_pk, y, 0 as f, x0 as x from tr union all select game_pk, y, 1, x1 from tr
+  union all select game_pk, y, 2, x2 from tr),
+q as (select f, unnest(quantile_cont(x, [{probs}])) as cut from long where y is not null group by f),
+cuts as (select f, cut, row_number() over (partition by f order by cut) - 1 as i from (
+  select distinct f, round(cut, 9) as cut from q)),
+b as (select game_pk, f, case when x is not null then (select count(*) from cuts c where c.f = l.f and c.cut < l.x) end as b
+  from long l),
+n1 as (select game_pk, 1 as node, {grad} as g, {curve} as h from tr){levels},
+vals as (select 1 as node, -0.05e0 * sum(g) / (sum(h) + 1) as value from n1 where g is not null
+  union all select 2 * node, -0.05e0 * g / (h + 1) from e1
+  union all select 2 * node + 1, -0.05e0 * (ag - g) / (ah - h + 1) from e1
+  union all select 2 * node, -0.05e0 * g / (h + 1) from e2
+  union all select 2 * node + 1, -0.05e0 * (ag - g) / (ah - h + 1) from e2)"""
+
+
+O["boosted_tree"] = f"""with {_boosted("home_win", False)}, e as (select * from e1 union all select * from e2)
+select cast(v.node as int) as node, ['o_totalprice', 'home_starter', 'prob'][e.f + 1] as feature, {r("c.cut")} as cut,
+ e.dir as missing_left, {r("e.gain")} as gain, {r("v.value")} as value
+from vals v left join e using (node) left join cuts c on c.f = e.f and c.i = e.b"""
+O["totals_round"] = f"""with {_boosted("home_score + away_score", True)}
+select n.game_pk, cast(tr.y as int) as total_runs, {r("(select avg(y) from tr) + v.value")} as predicted
+from n3 n join vals v using (node) join tr using (game_pk)"""
+O["run_line_round"] = f"""with {_boosted("case when home_score - away_score >= 2 then 1 else 0 end", False)}
+select n.game_pk, tr.y as cover, {r("1 / (1 + exp(-v.value))")} as predicted
+from n3 n join vals v using (node) join tr using (game_pk)"""
+O["forest_attributions"] = f"""with {GAMES}, i as (select game_pk, o_totalprice as a,
+ case when game_pk % 3 > 0 then cast(home_starter_id as double) end as b from games),
+p as (select game_pk,
+ case when a > 150000 then 0.4e0 - 0.02e0 else -0.3e0 - 0.02e0 end
+ + case when b is null then 0.0e0 when a <= 90000 then 0.25e0 - 0.05e0 else -0.07e0 - 0.05e0 end as price,
+ case when a > 150000 then 0.0e0 when coalesce(b, 0) <= 40 then -0.5e0 + 0.3e0 else 0.125e0 + 0.3e0 end
+ + case when b is null then -0.2e0 + 0.01e0 else 0.05e0 + 0.01e0 end as starter from i),
+f as (select game_pk, 'o_totalprice' as feature, {even("price", 6)} as attribution from p
+ union all select game_pk, 'home_starter', {even("starter", 6)} from p union all select game_pk, 'prob', 0.0e0 from p)
+select game_pk, feature, attribution, case when attribution > 0 then 'positive' else 'negative' end as signed_effect,
+ cast(row_number() over (partition by game_pk order by abs(attribution) desc, feature) as int) as rank from f"""
 O["games_read_back"] = f"""with {GAMES}, g as (select game_pk, game_date, home_team, prob, home_win from games)
 select * from g union all select * from g"""
 O["landed_days"] = f"""with {PITCHES} select game_pk, at_bat_number, pitch_number, game_date, events
