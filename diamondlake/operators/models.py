@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from diamondlake import constants as K
 from diamondlake.functions import scalars as S
-from diamondlake.operators import drift, folds, metrics
+from diamondlake.operators import boosting, drift, folds, metrics
 from diamondlake.session import Stage
 
 _LOADERS = {"boosted_a": GBTClassificationModel, "boosted_b": GBTClassificationModel,
@@ -27,7 +27,12 @@ _LOADERS = {"boosted_a": GBTClassificationModel, "boosted_b": GBTClassificationM
 
 @dataclass
 class Settings:
-    """Boosting parameters; both boosted members share them and differ in seed and features used."""
+    """Boosting parameters that both boosted members share.
+
+    With `leaf_wise` the second one grows best-first and places missing values itself (`boosting.boost`), as a
+    second algorithm; without, it is the first one with another seed. A round is one job per level, so it takes
+    some times as long as the first member and is not the default.
+    """
 
     members: tuple[str, ...] = ("boosted_a", "boosted_b", "logistic")
     rounds: int = 300
@@ -36,6 +41,8 @@ class Settings:
     subsample: float = 0.8
     seed: int = 42
     max_iter: int = 1000
+    leaf_wise: bool = False
+    key: str = "game_pk"
 
 
 @dataclass
@@ -122,6 +129,11 @@ def fit(train: DataFrame, features: Sequence[str], settings: Settings | None = N
                 algo = LogisticRegression(featuresCol="_linear", labelCol="_label",
                                           maxIter=s.max_iter, regParam=1.0 / n,
                                           standardization=False)
+            elif name == "boosted_b" and s.leaf_wise:
+                ens.models[name] = boosting.boost(train, features, label, replace(
+                    boosting.LEAF_WISE, rounds=s.rounds, depth=s.depth, rate=s.rate, subsample=s.subsample,
+                    seed=s.seed + 1), s.key)
+                continue
             else:
                 algo = _boosted(name, s)
             ens.models[name] = algo.fit(data)
@@ -134,6 +146,9 @@ def member_probabilities(ens: Ensemble, df: DataFrame) -> DataFrame:
     """Add `p_<member>` per member and the blend; 0.5 without members."""
     out = vectors(df, ens)
     for name, model in ens.models.items():
+        if isinstance(model, boosting.Forest):
+            out = out.withColumn(f"p_{name}", model.prediction())
+            continue
         cols = {c: f"_{name}_{c}" for c in ("prediction", "probability", "rawPrediction")}
         out = model.transform(out).withColumnsRenamed(cols)
         out = (out.withColumn(f"p_{name}", vector_to_array(cols["probability"])[1])
@@ -284,12 +299,15 @@ def run_line_head(train: DataFrame, val: DataFrame, features: Sequence[str],
 # --- attribution -----------------------------------------------------------------------------------
 
 def attributions(ens: Ensemble, games: DataFrame, key: str = "game_id",
-                 top: int | None = None) -> DataFrame:
+                 top: int | None = None, member: str = "logistic") -> DataFrame:
     """(game, feature, attribution, signed_effect, rank): exact log-odds shares of the linear
-    member, relative to the training mean, largest first."""
+    member, relative to the training mean, largest first; or the path-wise shares of a best-first member."""
     from pyspark.sql import Window
 
-    coef = ens.models["logistic"].coefficients.toArray()
+    if isinstance(ens.models[member], boosting.Forest):
+        return boosting.tree_attributions(ens.models[member], games, ens.features, key, top)
+
+    coef = ens.models[member].coefficients.toArray()
     share = {c: F.bround(F.lit(float(w)) * (
         (F.coalesce(F.col(c).cast("double"), F.lit(ens.medians[c])) - F.lit(ens.means[c]))
         / F.lit(ens.scales[c])), 6) for c, w in zip(ens.features, coef)}
@@ -306,11 +324,15 @@ def attributions(ens: Ensemble, games: DataFrame, key: str = "game_id",
 
 def save(ens: Ensemble, pooled: dict, path: str, spark: SparkSession, version: str,
          trained_at: datetime, data_cutoff: str) -> None:
+    forests = {}
     for name, model in ens.models.items():
+        if isinstance(model, boosting.Forest):
+            forests[name] = asdict(model)
+            continue
         model.write().overwrite().save(f"{path}/{name}")
     row = (version, trained_at.isoformat(), data_cutoff, json.dumps(pooled),
            json.dumps({"features": ens.features, "medians": ens.medians, "means": ens.means,
-                       "scales": ens.scales, "members": list(ens.models)}))
+                       "scales": ens.scales, "members": list(ens.models), "forests": forests}))
     spark.createDataFrame(
         [row], "version string, trained_at string, data_cutoff string, metrics string, "
                "inputs string").write.mode("overwrite").parquet(f"{path}/metadata")
@@ -326,6 +348,12 @@ def load(path: str, spark: SparkSession) -> Ensemble | None:
     i = json.loads(meta["inputs"])
     return Ensemble(
         i["features"], i["medians"], i["means"], i["scales"],
-        {n: _LOADERS[n].load(f"{path}/{n}") for n in i["members"]},
+        {n: _forest(i["forests"][n]) if n in i.get("forests", {}) else _LOADERS[n].load(f"{path}/{n}")
+         for n in i["members"]},
         {"version": meta["version"], "trained_at": meta["trained_at"],
          "data_cutoff": meta["data_cutoff"], "metrics": json.loads(meta["metrics"])})
+
+
+def _forest(saved: dict) -> boosting.Forest:
+    return boosting.Forest(saved["base"], [{int(k): boosting.Node(**n) for k, n in tree.items()}
+                                           for tree in saved["trees"]], saved["loss"])

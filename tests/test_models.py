@@ -118,6 +118,20 @@ def test_save_and_load(spark, games, tmp_path):
     assert a == b
 
 
+def test_second_member_of_another_kind(spark, games, tmp_path):
+    both = models.Settings(members=("boosted_a", "boosted_b"), rounds=3, depth=3, leaf_wise=True)
+    ens = models.fit(games, ["x", "z", "empty"], both)
+    assert len(ens.models["boosted_b"].trees) == 3
+    out = models.member_probabilities(ens, games)
+    assert out.where("abs(p_boosted_a - p_boosted_b) > 1e-4").count() > 100
+    assert models.metrics.binary_metrics(out, p="p_boosted_b").first()["auc"] > 0.6
+    models.save(ens, {}, str(tmp_path / "m"), spark, "v1", dt.datetime(2026, 8, 22), "20260822")
+    again = models.load(str(tmp_path / "m"), spark)
+    assert again.models["boosted_b"] == ens.models["boosted_b"]
+    shares = models.attributions(ens, games, "game_pk", top=1, member="boosted_b")
+    assert shares.count() == 360 and shares.where("feature = 'empty'").count() == 0
+
+
 def test_retrain_cadence():
     now = dt.datetime(2026, 8, 22)
     assert models.should_retrain(None, now)
