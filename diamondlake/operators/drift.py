@@ -125,13 +125,15 @@ def feature_drift(baseline: DataFrame, current: DataFrame, features: Sequence[st
     """Drift row per feature observed in both windows.
 
     A status above OK needs both a noise-adjusted PSI beyond the threshold and a mean shift of
-    more than two (clustering-inflated) standard errors; small windows are INSUFFICIENT.
+    more than two (clustering-inflated) standard errors; small windows are INSUFFICIENT. Each window is read
+    once, into a table of its values; means, cuts, ranks and bins are taken from that table.
     """
     have = [f for f in features if f in baseline.columns and f in current.columns]
     values = (long_form(baseline.select(*have).withColumn("is_current", F.lit(False)), have,
                         "is_current")
               .unionByName(long_form(current.select(*have).withColumn("is_current", F.lit(True)),
                                      have, "is_current")))
+    values = Stage(baseline.sparkSession).put("values", values)
     cur = F.col("is_current")
 
     def side(fn, cond):

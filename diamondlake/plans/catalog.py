@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 from types import SimpleNamespace
 
 from pyspark.ml.functions import vector_to_array
@@ -1001,3 +1002,43 @@ def known_venues(spark, d):
     code = "split_part('" + CODES + "', ',', cast(game_pk % 10 + 1 as int))"
     return B.games(spark, d).selectExpr("game_pk", code + " as team").select(
         "game_pk", "team", S.venue_of(S.canonical_team("team")).alias("venue"))
+
+
+@query
+def present_columns(spark, d):
+    """The columns of a list that the games have, in the order of the list."""
+    return landing.existing(B.games(spark, d), ["prob", "absent", "game_pk", "home_team", "prob", "moneyline_home"])
+
+
+@query
+def newest_games(spark, d):
+    """The fallback slate: the last fifteen games in order of date and id."""
+    return artifacts.latest_rows(B.games(spark, d), ["game_date", "game_pk"], 15).select("game_pk", "game_date", "home_team")
+
+
+@query
+def calibration_read_back(spark, d):
+    """The calibration documents of two runs written as JSON, one read back by its schema."""
+    path = f"{Stage(spark).folder}/calibration"
+    oof = B.scored(spark, d).withColumn("home_win_prob_model", F.col("prob"))
+    for run in ("20000614", "20000615"):
+        artifacts.write_json(reports.calibration_record(oof, run, digits=None), path, run)
+    documents = spark.read.schema(artifacts.CALIBRATION).json(f"{path}/run_date=20000615")
+    view = artifacts.calibration_view(documents, "20000615")
+    return rounded(view.select("date", "kpis.*", "day_record.*", F.explode("confidence").alias("c")).select(
+        "date", "auc_roc", "brier_score", "log_loss", "cal_error", "wins", "losses", "completed", "c.bucket",
+        F.col("c.count").alias("bucket_count"), "c.accuracy_pct"))
+
+
+@query
+def bundle_read_back(spark, d):
+    """Win probabilities by a saved and reloaded bundle: its boosted member, and its metadata."""
+    g = _tree_inputs(spark, d)
+    ens = models.input_stats(g.where("home_win is not null"), _TREE_INPUTS)
+    ens.models["boosted_b"] = boosting.boost(g, _TREE_INPUTS, "home_win", _ROUND)
+    path = f"{Stage(spark).folder}/bundle"
+    models.save(ens, {"auc": 0.5}, path, spark, "v7", datetime(2000, 6, 15), "2000-06-14")
+    again = models.load(path, spark)
+    return rounded(models.member_probabilities(again, g).select(
+        "game_pk", F.lit(again.metadata["version"]).alias("version"),
+        F.lit(again.metadata["data_cutoff"]).alias("data_cutoff"), F.col("home_win_prob_model").alias("p")))

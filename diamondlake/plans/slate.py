@@ -74,7 +74,8 @@ def build_upcoming_slate(history: DataFrame, day: date, schedule: DataFrame,
                          zero_for_no_games: bool = False) -> DataFrame:
     """One row per scheduled game with every model feature; unknown ones are NULL.
 
-    Only games before `day` are read from the history, whatever it holds.
+    Only games before `day` are read from the history, whatever it holds. The games of the day come ordered by
+    start time, unknown times last, then by id.
     Results already in the schedule are kept. Ratings belong to (league, team) where the schedule names
     the league; without it, a team's name must be of one league. Rest days are fresh, the rest is the latest state.
     """
@@ -152,4 +153,5 @@ def build_upcoming_slate(history: DataFrame, day: date, schedule: DataFrame,
                      .drop("_key", "_pid", "_line_pid"))
     slate = slate.drop("_of_league")
     missing = {c: F.lit(None).cast("double") for c in K.FEATURES if c not in slate.columns}
-    return slate.withColumns(missing) if missing else slate
+    slate = slate.withColumns(missing) if missing else slate
+    return slate.orderBy(F.asc_nulls_last("start_time_utc"), "game_id")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diamondlake import constants as K
-from diamondlake.session import Stage
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence, keep: str = "last") -> DataFrame:
@@ -40,31 +41,107 @@ def upsert(existing: DataFrame, increment: DataFrame, existing_first: bool = Tru
     return dedupe(both, keys, ["_source", *order], "last").drop("_source")
 
 
+class Conflict(Exception):
+    """Somebody else committed the version first."""
+
+
+class VersionedTable:
+    """A table of Parquet folders with a manifest per version under `_versions`.
+
+    A version names the folder of each partition. Folders are written once under a name of their own and never
+    changed, and a version appears whole, by one rename that fails if its number is taken. So a reader keeps what
+    it opened, a failed writer leaves nothing that a reader sees, and of two writers the later one merges again.
+    Manifests hold one line per partition, some hundred for months. Old folders are left for readers.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._fs = jvm.org.apache.hadoop.fs
+        self._root = self._fs.Path(self.path)
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._system = self._root.getFileSystem(self._conf)
+
+    def versions(self) -> list[int]:
+        folder = self._fs.Path(f"{self.path}/_versions")
+        if not self._system.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._system.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def manifest(self, version: int | None) -> dict[str, str]:
+        """Folder of each partition value; nothing before the first version."""
+        if version is None:
+            return {}
+        text = self.spark.read.option("wholetext", True).text(f"{self.path}/_versions/{version:08d}.json").first()[0]
+        return json.loads(text)
+
+    def read(self, version: int | None = None, parts: Sequence[str] | None = None) -> DataFrame | None:
+        """The table as of a version (the newest by default), or only some of its partitions."""
+        have = self.versions()
+        chosen = version if version is not None else (have[-1] if have else None)
+        folders = [f for p, f in self.manifest(chosen).items() if parts is None or p in parts]
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else None
+
+    def write_parts(self, df: DataFrame) -> dict[str, str]:
+        """Write rows with `_part` into a fresh folder; the folder of each value."""
+        name = f"data-{uuid.uuid4().hex}"
+        df.write.partitionBy("_part").parquet(f"{self.path}/{name}")
+        unescape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        dirs = [f.getPath().getName() for f in self._system.listStatus(self._fs.Path(f"{self.path}/{name}")) if f.isDirectory()]
+        return {unescape(d[len("_part="):]): f"{name}/{d}" for d in dirs if d.startswith("_part=")}
+
+    def commit(self, base: int | None, changed: dict[str, str]) -> int:
+        """The version after `base` with some folders changed. Raises Conflict where it exists already."""
+        number = 0 if base is None else base + 1
+        manifest = {**self.manifest(base), **changed}
+        target = self._fs.Path(f"{self.path}/_versions/{number:08d}.json")
+        draft = self._fs.Path(f"{self.path}/_versions/.{uuid.uuid4().hex}")
+        out = self._system.create(draft)
+        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        out.close()
+        gateway = self.spark.sparkContext._gateway
+        options = gateway.new_array(getattr(self._fs, "Options$Rename"), 0)
+        context = self._fs.FileContext.getFileContext(self._system.getUri(), self._conf)
+        try:
+            context.rename(self._system.makeQualified(draft), self._system.makeQualified(target), options)
+        except Py4JJavaError as failed:
+            self._system.delete(draft, False)
+            if "FileAlreadyExists" in failed.java_exception.getClass().getName():
+                raise Conflict(f"version {number} of {self.path}") from failed
+            raise
+        return number
+
+
 def save(spark: SparkSession, path: str, increment: DataFrame, part: Column,
          existing_first: bool = True, keys: Sequence[str] = tuple(K.PITCH_KEY),
-         tie_break: Sequence[str] = ()) -> DataFrame:
-    """Merge the increment into the table at `path` and return the table.
+         tie_break: Sequence[str] = (), attempts: int = 5) -> DataFrame:
+    """Merge the increment into the versioned table at `path` and return the new version.
 
     The table is partitioned by `part`, a value that a key has once (for pitches the month of the
-    game). Only partitions that the increment touches are read, merged and replaced. The merged
-    rows are written to the stage first and swapped in by partition, so a failed run leaves the
-    table as it was.
+    game). Only partitions that the increment touches are read, merged and written, beside the old ones; then
+    one rename makes them the table. A run that fails anywhere before leaves the table as it was. Where another
+    writer came first, the merge is repeated on what it wrote.
     """
+    table = VersionedTable(spark, path)
     fresh = increment.withColumn("_part", F.coalesce(part.cast("string"), F.lit("none")))
     touched = [r[0] for r in fresh.select("_part").distinct().collect()]   # one per month
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
-        table = None
-    if table is None:
-        merged = dedupe(fresh, keys, list(tie_break) or [c for c in fresh.columns if c not in keys])
-    else:
-        table = table.withColumn("_part", F.col("_part").cast("string"))
-        merged = upsert(table.where(F.col("_part").isin(touched)), fresh, existing_first, keys, tie_break)
-    staged = Stage(spark).put("merged", merged)
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("_part").parquet(path))
-    return spark.read.parquet(path).select(*increment.columns)
+    for attempt in range(attempts):
+        base = (table.versions() or [None])[-1]
+        old = table.read(base, touched) if base is not None else None
+        if old is None:
+            merged = dedupe(fresh, keys, list(tie_break) or [c for c in fresh.columns if c not in keys])
+        else:
+            merged = upsert(old.withColumn("_part", F.coalesce(part.cast("string"), F.lit("none"))), fresh,
+                            existing_first, keys, tie_break)
+        try:
+            version = table.commit(base, table.write_parts(merged))
+        except Conflict:
+            if attempt + 1 == attempts:
+                raise
+            continue
+        out = table.read(version)
+        return out.select(*increment.columns) if out is not None else increment.limit(0)
 
 
 def coverage_gaps(earliest: date | None, latest: date | None, start: date,

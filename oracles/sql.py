@@ -948,5 +948,12 @@ O["known_venues"] = f"""with {GAMES}, t as (select game_pk,
  split_part('{CODES}', ',', cast(game_pk % 10 + 1 as int)) as team from games),
 c as (select game_pk, team, {_canonical("team")} as home_team from t)
 select game_pk, team, {VENUE} as venue from c"""
+O["present_columns"] = f"with {GAMES} select prob, game_pk, home_team from games"
+O["newest_games"] = f"""with {GAMES} select game_pk, game_date, home_team from games
+order by game_date desc, game_pk desc limit 15"""
+O["calibration_read_back"] = O["calibration_view"]
+O["bundle_read_back"] = f"""with {_boosted("home_win", False)}
+select game_pk, 'v7' as version, '2000-06-14' as data_cutoff, {r("1 / (1 + exp(-v.value))")} as p
+from n3 join vals v using (node)"""
 
 ORACLES = O

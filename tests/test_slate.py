@@ -57,7 +57,7 @@ def test_ratings_of_teams_of_equal_names_by_league(spark):
 
 
 def test_one_row_per_scheduled_game_with_every_feature(built):
-    assert set(built) == {"NYY", "LAD"}
+    assert list(built) == ["LAD", "NYY"]        # in order of their start
     assert set(K.FEATURES) <= set(built["NYY"])
     assert built["NYY"]["game_id"] == "20260822_SEA@NYY"
     assert built["NYY"]["home_win"] is None and built["NYY"]["home_score"] is None

@@ -260,9 +260,50 @@ def test_saving_replaces_only_touched_partitions(spark, tmp_path):
     path, part = str(tmp_path / "cache"), F.date_format("day", "yyyyMM")
     rows = lambda *r: spark.createDataFrame(r, "k int, day string, v string")
     cache.save(spark, path, rows((1, "2025-04-01", "a"), (2, "2025-05-01", "a"), (3, None, "a")), part, keys=["k"])
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "cache").glob("_part=202505/*.parquet")}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "cache").glob("*/_part=202505/*.parquet")}
+    assert before
     out = cache.save(spark, path, rows((1, "2025-04-01", "b"), (4, "2025-04-02", "c"), (3, None, "d")), part, keys=["k"])
     assert sorted((r.k, r.v) for r in out.collect()) == [(1, "b"), (2, "a"), (3, "d"), (4, "c")]
     assert before == {p: p.stat().st_mtime_ns for p in before}
     back = cache.save(spark, path, rows((2, "2025-05-01", "z")), part, existing_first=False, keys=["k"])
     assert sorted((r.k, r.v) for r in back.collect())[1] == (2, "a")
+
+
+def test_cache_save_is_all_or_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+    path, part = str(tmp_path / "cache"), F.date_format("day", "yyyyMM")
+    rows = lambda *r: spark.createDataFrame(r, "k int, day string, v string")
+    got = lambda df: sorted((r.k, r.v) for r in df.collect())
+    first = cache.save(spark, path, rows((1, "2025-04-01", "a"), (2, "2025-05-01", "a"), (3, "2025-06-01", "a")), part, keys=["k"])
+    # the row of May cannot be written, after the rows of April were
+    broken = rows((1, "2025-04-01", "b"), (2, "2025-05-01", "b")).withColumn(
+        "v", F.when(F.col("k") == 2, F.raise_error("no space")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="no space"):
+        cache.save(spark, path, broken, part, keys=["k"])
+    table = cache.VersionedTable(spark, path)
+    assert table.versions() == [0] and got(table.read()) == [(1, "a"), (2, "a"), (3, "a")]
+    second = cache.save(spark, path, rows((1, "2025-04-01", "c"), (4, "2025-07-01", "c")), part, keys=["k"])
+    assert got(second) == [(1, "c"), (2, "a"), (3, "a"), (4, "c")]
+    assert got(first) == got(table.read(0)) == [(1, "a"), (2, "a"), (3, "a")]       # readers keep their version
+    assert [p for p in (tmp_path / "cache" / "_versions").iterdir() if p.name.startswith(".") and "crc" not in p.name] == []
+
+
+def test_cache_save_merges_again_after_a_conflict(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    path, part = str(tmp_path / "cache"), F.lit("one")
+    rows = lambda *r: spark.createDataFrame(r, "k int, v string")
+    cache.save(spark, path, rows((1, "a")), part, keys=["k"])
+    write, beaten = cache.VersionedTable.write_parts, []
+
+    def slow(self, df):
+        if not beaten:
+            beaten.append(True)
+            cache.save(spark, path, rows((1, "other"), (2, "other")), part, keys=["k"])
+        return write(self, df)
+    monkeypatch.setattr(cache.VersionedTable, "write_parts", slow)
+    out = cache.save(spark, path, rows((1, "mine"), (3, "mine")), part, keys=["k"])
+    assert sorted((r.k, r.v) for r in out.collect()) == [(1, "mine"), (2, "other"), (3, "mine")]
+    assert cache.VersionedTable(spark, path).versions() == [0, 1, 2]
+    monkeypatch.setattr(cache.VersionedTable, "versions", lambda self: [0])
+    with pytest.raises(cache.Conflict):
+        cache.save(spark, path, rows((9, "x")), part, keys=["k"], attempts=2)
