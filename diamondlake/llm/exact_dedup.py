@@ -38,12 +38,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pre
 
     full = F.sha2("_text", 256)
     marked = rows.join(heads, ["_len", "_head"], "left").select(
-        "doc_id", F.when(F.col("_shared"), full).alias("_full"),
+        "doc_id", "_len", "_head", F.when(F.col("_shared"), full).alias("_full"),
         *([full.alias("text_sha256")] if digest_all else []))
     groups = marked.filter("_full is not null").groupBy("_full").agg(
         F.count("*").alias("_n"), F.max("doc_id").alias("_keep"))
     # rows without a digest meet no group; a key of their own spreads them over all tasks
-    alone = F.concat(F.lit("#"), F.xxhash64("doc_id").cast("string"))
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("_len", "_head")).otherwise(F.xxhash64("doc_id"))
+    alone = F.concat(F.lit("#"), spread.cast("string"))
     out = marked.withColumn("_key", F.coalesce("_full", alone)).join(
         groups.withColumnRenamed("_full", "_key"), "_key", "left")
     keep = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))

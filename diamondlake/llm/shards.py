@@ -34,7 +34,7 @@ def sharded(docs: DataFrame, doc_id: str, text: str, shard_bytes: int = SHARD_BY
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // shard_bytes))
     # a salt of its own for rows without an id: they have no order, so they need no company
-    key = F.coalesce(F.xxhash64("doc_id"), F.xxhash64(F.substring("text", 1, 256)))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     dealt = rows.select(F.pmod(key, F.lit(n)).cast("int").alias("shard"),
                         F.coalesce("doc_id", F.lit(0)).alias("id"),
                         F.col("doc_id").isNotNull().alias("has_id"), "text")

@@ -84,3 +84,13 @@ def test_mix_emits_copies_and_takes_odd_rows(spark):
     assert out.count() == sum(r.copies for r in mixed.collect())
     assert {r["copy"] for r in out.collect()} <= {1, 2, 3}
     assert mix(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_rows_without_an_id_are_spread(spark):
+    from diamondlake.llm.shards import sharded
+    docs = frame(spark, [(None, f"text number {k} of many") for k in range(400)])
+    dealt = sharded(docs, "doc_id", "text", 100)
+    assert dealt.n > 50 and dealt.docs.select("shard").distinct().count() > dealt.n / 2
+    assert dealt.docs.filter("not has_id").count() == 400
+    out = exact_dedup(docs).collect()
+    assert len(out) == 400 and all(r.group_size == 1 and r.kept and r.keep_id is None for r in out)
