@@ -40,6 +40,7 @@ TREES, DEPTHS = 20, (3, 4, 6, 9, 14)
 VALUES = TREES * DEPTHS[0]
 REGION, SORTED = 128, 20_000
 ROWS = 4_096                        # members of regions that one group of tasks compares
+COMMON = 16_384                     # shingles of more holders than ROWS that tasks know by a list, not a join
 LIKELY = 0.52
 SKETCH, SURE, NEARLY = 256, 0.64, 0.74
 FULL = np.uint32(0xFFFFFFFF)        # ends a sketch that holds the whole set
@@ -177,19 +178,48 @@ def _likely_pairs(percent: int):
 
 
 def _shingle_rows(words: int):
-    """(id, component, n, shingle): the distinct shingles of each text."""
+    """The distinct shingles of each text with the component of its document."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _slices(batches, ["text"], 1 << 18):
             sets = arrays.shingle_sets(arrays.encoded(batch["text"]), words)
-            sizes = [len(s) for s in sets]
-            at = np.repeat(np.arange(len(sets)), sizes)
+            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             yield pd.DataFrame({
-                "id": batch["id"].to_numpy()[at], "component": batch["component"].to_numpy()[at],
-                "n": np.asarray(sizes, np.int64)[at],
+                "component": batch["component"].to_numpy()[at],
                 "shingle": np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)})
     return rows
 
 
+def _indexed_rows(words: int, percent: int, common: np.ndarray):
+    """(id, component, first, rest, shingle, place) of what the index may need of each text.
+
+    `common` are the shingles with most holders, fewest first: they are last in the order of every set.
+    Those of a set are left out, unless its first quarter reaches them; then the ones in reach carry their
+    place. Of the others all are given, without a place, with the number `rest` of them.
+    """
+    rank = np.argsort(common, kind="stable")
+    known = common[rank]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _slices(batches, ["text"], 1 << 18):
+            parts = []
+            for doc, component, found in zip(batch["id"], batch["component"], arrays.shingle_sets(
+                    arrays.encoded(batch["text"]), words)):
+                own, n = found.view(np.int64), len(found)
+                at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                last = known[at] == own if len(known) else np.zeros(n, bool)
+                rest, first = n - int(last.sum()), n + (-n * percent) // 100 + 1
+                ends = own[last][np.argsort(rank[at[last]])][:max(first - rest, 0)]
+                places = np.full(rest + len(ends), np.nan)
+                places[rest:] = np.arange(rest + 1, rest + len(ends) + 1)
+                parts.append(pd.DataFrame({
+                    "id": doc, "component": component, "first": first, "rest": rest,
+                    "shingle": np.concatenate([own[~last], ends]), "place": places}))
+            if parts:
+                out = pd.concat(parts, ignore_index=True)
+                yield out.assign(place=out["place"].astype("Int64"))
+    return rows
+
+
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
@@ -317,23 +347,28 @@ def _rare_regions(crowds: DataFrame, linked: DataFrame, texts: DataFrame, stage:
 
     All sets follow one order of shingles: first those of a single component, then by number of holders. Of two
     sets of n and m shingles with the wanted similarity, the first n - ceil(n * percent / 100) + 1 of the one and of
-    the other have one in common.
+    the other have one in common. The COMMON shingles with most holders, the end of that order, are handed to the
+    tasks as a list, so that a passage that a crowd shares is not shuffled by its shingles; what does not fit on the
+    list is joined like the rest.
     """
     named = stage.put("crowd", crowds.join(linked, "id", "left").select(
         "region", "id", F.coalesce("component", "id").alias("component")))
     several = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
     members = named.join(several.select("region"), "region", "left_semi").select("id", "component").distinct()
-    rows = stage.put("shingles", texts.join(members, "id").select("id", "component", "text").mapInPandas(
-        _shingle_rows(words), "id long, component long, n long, shingle long"))
-    shared = stage.put("shared", rows.groupBy("shingle").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("holders"))
+    crowd = stage.put("crowd-texts", texts.join(members, "id").select("id", "component", "text"))
+    shared = stage.put("shared", crowd.mapInPandas(_shingle_rows(words), "component long, shingle long").groupBy(
+        "shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("holders"))
         .filter("x < y").select("shingle", "holders"))
-    held = rows.join(shared, "shingle")
+    order = ["holders", "shingle"]
+    common = shared.filter(F.col("holders") > ROWS).orderBy(*[F.desc(c) for c in order]).limit(COMMON).collect()
+    rows = stage.put("shingles", crowd.mapInPandas(
+        _indexed_rows(words, percent, np.array([r["shingle"] for r in reversed(common)], np.int64)),
+        "id long, component long, first long, rest long, shingle long, place long"))
+    held = rows.filter("place is null").drop("place").join(shared, "shingle")
     own = Window.partitionBy("id")
-    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "shingle"))
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = stage.put("rare", held.withColumn("place", place).filter(F.col("place") <= first).select(
-        "id", "component", "shingle"))
+    place = F.col("rest") - F.count("*").over(own) + F.row_number().over(own.orderBy(*order))
+    rare = stage.put("rare", held.withColumn("place", place).filter("place <= first").select(
+        "id", "component", "shingle").union(rows.filter("place is not null").select("id", "component", "shingle")))
     met = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("x"),
                                       F.max("component").alias("y")).filter("x < y")
     blocks = F.ceil(F.col("n") / ROWS).cast("int")
