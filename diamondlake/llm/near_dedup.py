@@ -40,7 +40,7 @@ TREES, DEPTHS = 20, (3, 4, 6, 9, 14)
 VALUES = TREES * DEPTHS[0]
 REGION, SORTED = 128, 20_000
 ROWS = 4_096                        # members of regions that one group of tasks compares
-COMMON = 16_384                     # shingles of more holders than ROWS that tasks know by a list, not a join
+COMMON = 16_384                     # shingles of more than REGION holders that tasks know by a list, not a join
 LIKELY = 0.52
 SKETCH, SURE, NEARLY = 256, 0.64, 0.74
 FULL = np.uint32(0xFFFFFFFF)        # ends a sketch that holds the whole set
@@ -360,7 +360,7 @@ def _rare_regions(crowds: DataFrame, linked: DataFrame, texts: DataFrame, stage:
         "shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("holders"))
         .filter("x < y").select("shingle", "holders"))
     order = ["holders", "shingle"]
-    common = shared.filter(F.col("holders") > ROWS).orderBy(*[F.desc(c) for c in order]).limit(COMMON).collect()
+    common = shared.filter(F.col("holders") > REGION).orderBy(*[F.desc(c) for c in order]).limit(COMMON).collect()
     rows = stage.put("shingles", crowd.mapInPandas(
         _indexed_rows(words, percent, np.array([r["shingle"] for r in reversed(common)], np.int64)),
         "id long, component long, first long, rest long, shingle long, place long"))
