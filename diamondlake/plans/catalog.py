@@ -23,6 +23,7 @@ from diamondlake.plans import game_features as G
 from diamondlake.plans import reports, slate
 from diamondlake.session import Stage, tune
 from diamondlake.sources import artifacts, cache, landing
+from diamondlake.sources import profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1042,3 +1043,21 @@ def bundle_read_back(spark, d):
     return rounded(models.member_probabilities(again, g).select(
         "game_pk", F.lit(again.metadata["version"]).alias("version"),
         F.lit(again.metadata["data_cutoff"]).alias("data_cutoff"), F.col("home_win_prob_model").alias("p")))
+
+
+@query
+def column_types(spark, d):
+    """The type that the range, the missing values and the number of values of each line item column choose."""
+    return profile.chosen(B.table(spark, d, "lineitem")).select(
+        "position", "column", "n_rows", "n_null", "least", "greatest", "nullable", "chosen")
+
+
+@query
+def category_codes(spark, d):
+    """Code and value of the string columns of line items and events that become categories."""
+    found = []
+    for name in ("lineitem", "events"):
+        df = B.table(spark, d, name)
+        coded = [r["column"] for r in profile.chosen(df).filter("chosen = 'category'").collect()]
+        found.append(profile.dictionary(df, coded))
+    return found[0].union(found[1])

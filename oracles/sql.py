@@ -956,4 +956,28 @@ O["bundle_read_back"] = f"""with {_boosted("home_win", False)}
 select game_pk, 'v7' as version, '2000-06-14' as data_cutoff, {r("1 / (1 + exp(-v.value))")} as p
 from n3 join vals v using (node)"""
 
+_WHOLES, _OTHERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), (
+    "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+_NARROWEST = ("case when lo >= -128 and hi <= 127 then 'tinyint' when lo >= -32768 and hi <= 32767 then 'smallint' "
+              "when lo >= -2147483648 and hi <= 2147483647 then 'int' else 'bigint' end")
+
+
+def _column(place: int, c: str) -> str:
+    ends = f"cast(min({c}) as bigint), cast(max({c}) as bigint)" if c in _WHOLES else "null, null"
+    kind = ("'timestamp_ntz'" if c == "l_shipdate" else "'float'" if place in range(4, 8) else
+            f"case when count(distinct {c}) < 100 then 'category' else 'string' end" if c in _OTHERS else "null")
+    return f"select {place}, '{c}', count(*), count(*) - count({c}), {ends}, {kind} from lineitem"
+
+
+O["column_types"] = f"""with c(position, "column", n_rows, n_null, lo, hi, kind) as (
+{" union all ".join(_column(k, c) for k, c in enumerate(_WHOLES + _OTHERS))})
+select position, "column", n_rows, n_null, lo as least, hi as greatest, n_null > 0 as nullable,
+ coalesce(kind, {_NARROWEST}) as chosen from c"""
+O["category_codes"] = """with v as (select distinct 'l_returnflag' as "column", l_returnflag as value from lineitem
+ union select distinct 'l_linestatus', l_linestatus from lineitem
+ union select distinct 'event_type', event_type from events
+ union select distinct 'props', props from events where (select count(distinct props) from events) < 100)
+select "column", cast(row_number() over (partition by "column" order by value) - 1 as int) as code, value
+from v where value is not null"""
+
 ORACLES = O
