@@ -8,10 +8,10 @@
   SORTED members is sorted in parts by longer prefixes.
 * Regions are cut by ever longer prefixes until they have at most REGION members, so the depth adapts
   to how crowded a place is. Members of such a region that are still in different components meet.
-* Members of regions that were too crowded for that, and of several components, meet through their rarest
-  shingles: shingles that one component alone holds come first, then the others by number of holders, and
-  two sets of the wanted similarity share one of the first quarter. It is exact, and a group of copies or a
-  common passage adds nothing, as what they share is not rare or not shared with others.
+* Members of regions that were too crowded for that, and of several components, meet through the first
+  quarter of their shingles in one order of all shingles, of which two sets of the wanted similarity share one.
+  It is exact. The shingles of most holders come last in that order and those that one component alone
+  holds make nobody meet, so a group of copies or a common passage adds little.
 * Candidates whose signatures agree on less than LIKELY of the values, or whose set sizes rule the
   similarity out, are dropped (at first on 4 bits of each value, which only overestimates); inside
   regions also those whose SKETCH smallest shingle hashes put the similarity under SURE (under NEARLY
@@ -40,7 +40,7 @@ TREES, DEPTHS = 20, (3, 4, 6, 9, 14)
 VALUES = TREES * DEPTHS[0]
 REGION, SORTED = 128, 20_000
 ROWS = 4_096                        # members of regions that one group of tasks compares
-COMMON = 16_384                     # shingles of more than REGION holders that tasks know by a list, not a join
+COMMON = 16_384                     # shingles of more than REGION holders that come last, a list that tasks know
 LIKELY = 0.52
 SKETCH, SURE, NEARLY = 256, 0.64, 0.74
 FULL = np.uint32(0xFFFFFFFF)        # ends a sketch that holds the whole set
@@ -177,46 +177,52 @@ def _likely_pairs(percent: int):
     return pairs
 
 
-def _shingle_rows(words: int):
-    """The distinct shingles of each text with the component of its document."""
+def _held_twice(words: int):
+    """(shingle, holders, x, y) of the shingles that two or more of the texts read in a row have, with the smallest
+    and the largest component of their holders: counts are added up inside a task before they are shuffled."""
+    def counted(sets: list[np.ndarray], components: list[int]) -> pd.DataFrame:
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, of = every[order], np.repeat(components, [len(s) for s in sets])[order]
+        at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        holders = np.diff(np.append(at, len(every)))
+        out = pd.DataFrame({"shingle": every[at].view(np.int64), "holders": holders,
+                            "x": np.minimum.reduceat(of, at), "y": np.maximum.reduceat(of, at)})
+        return out[holders > 1]
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets, components, size = [], [], 0
         for batch in _slices(batches, ["text"], 1 << 18):
-            sets = arrays.shingle_sets(arrays.encoded(batch["text"]), words)
-            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            yield pd.DataFrame({
-                "component": batch["component"].to_numpy()[at],
-                "shingle": np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)})
+            sets += arrays.shingle_sets(arrays.encoded(batch["text"]), words)
+            components += batch["component"].tolist()
+            size += len(" ".join(batch["text"]))
+            if size >= 8 << 20:
+                yield counted(sets, components)
+                sets, components, size = [], [], 0
+        if sets:
+            yield counted(sets, components)
     return rows
 
 
-def _indexed_rows(words: int, percent: int, common: np.ndarray):
-    """(id, component, first, rest, shingle, place) of what the index may need of each text.
-
-    `common` are the shingles with most holders, fewest first: they are last in the order of every set.
-    Those of a set are left out, unless its first quarter reaches them; then the ones in reach carry their
-    place. Of the others all are given, without a place, with the number `rest` of them.
-    """
+def _first_rows(words: int, percent: int, common: np.ndarray):
+    """(id, component, shingle) of the first n - ceil(n * percent / 100) + 1 shingles of each text of n: those that are
+    not `common` in the order of their hashes, then common ones as they are listed."""
     rank = np.argsort(common, kind="stable")
     known = common[rank]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _slices(batches, ["text"], 1 << 18):
-            parts = []
-            for doc, component, found in zip(batch["id"], batch["component"], arrays.shingle_sets(
-                    arrays.encoded(batch["text"]), words)):
+            firsts = []
+            for found in arrays.shingle_sets(arrays.encoded(batch["text"]), words):
                 own, n = found.view(np.int64), len(found)
                 at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
                 last = known[at] == own if len(known) else np.zeros(n, bool)
-                rest, first = n - int(last.sum()), n + (-n * percent) // 100 + 1
-                ends = own[last][np.argsort(rank[at[last]])][:max(first - rest, 0)]
-                places = np.full(rest + len(ends), np.nan)
-                places[rest:] = np.arange(rest + 1, rest + len(ends) + 1)
-                parts.append(pd.DataFrame({
-                    "id": doc, "component": component, "first": first, "rest": rest,
-                    "shingle": np.concatenate([own[~last], ends]), "place": places}))
-            if parts:
-                out = pd.concat(parts, ignore_index=True)
-                yield out.assign(place=out["place"].astype("Int64"))
+                first = n + (-n * percent) // 100 + 1
+                own, ends = own[~last][:first], own[last][np.argsort(rank[at[last]])]
+                firsts.append(np.concatenate([own, ends[:first - len(own)]]))
+            at = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[at], "component": batch["component"].to_numpy()[at],
+                                "shingle": np.concatenate([np.empty(0, np.int64), *firsts])})
     return rows
 
 
@@ -342,33 +348,30 @@ def _forest(heads: DataFrame, stage: Stage) -> tuple[DataFrame, ...]:
 
 def _rare_regions(crowds: DataFrame, linked: DataFrame, texts: DataFrame, stage: Stage,
                   words: int, percent: int) -> DataFrame:
-    """Members of crowded regions that have one of their rarest shingles in common, as regions (region, side, id,
+    """Members of crowded regions that have one of their first shingles in common, as regions (region, side, id,
     component). A shingle of more than ROWS members is cut into blocks, and every two blocks form a region.
 
-    All sets follow one order of shingles: first those of a single component, then by number of holders. Of two
-    sets of n and m shingles with the wanted similarity, the first n - ceil(n * percent / 100) + 1 of the one and of
-    the other have one in common. The COMMON shingles with most holders, the end of that order, are handed to the
-    tasks as a list, so that a passage that a crowd shares is not shuffled by its shingles; what does not fit on the
-    list is joined like the rest.
+    All sets follow one order of shingles. Of two sets of n and m shingles with the wanted similarity, the first
+    n - ceil(n * percent / 100) + 1 of the one and of the other have one in common, whatever the order is. The order
+    only decides how many meet: the COMMON shingles of most holders come last, the most frequent at the very end. They
+    are counted where members of a region are read together, so what a crowd shares is counted where it is; a count
+    may be too low and costs time alone. Only the first quarter of each set is ever shuffled.
     """
     named = stage.put("crowd", crowds.join(linked, "id", "left").select(
         "region", "id", F.coalesce("component", "id").alias("component")))
     several = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    members = named.join(several.select("region"), "region", "left_semi").select("id", "component").distinct()
-    crowd = stage.put("crowd-texts", texts.join(members, "id").select("id", "component", "text"))
-    shared = stage.put("shared", crowd.mapInPandas(_shingle_rows(words), "component long, shingle long").groupBy(
-        "shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("holders"))
-        .filter("x < y").select("shingle", "holders"))
-    order = ["holders", "shingle"]
-    common = shared.filter(F.col("holders") > REGION).orderBy(*[F.desc(c) for c in order]).limit(COMMON).collect()
-    rows = stage.put("shingles", crowd.mapInPandas(
-        _indexed_rows(words, percent, np.array([r["shingle"] for r in reversed(common)], np.int64)),
-        "id long, component long, first long, rest long, shingle long, place long"))
-    held = rows.filter("place is null").drop("place").join(shared, "shingle")
-    own = Window.partitionBy("id")
-    place = F.col("rest") - F.count("*").over(own) + F.row_number().over(own.orderBy(*order))
-    rare = stage.put("rare", held.withColumn("place", place).filter("place <= first").select(
-        "id", "component", "shingle").union(rows.filter("place is not null").select("id", "component", "shingle")))
+    members = named.join(several.select("region"), "region", "left_semi").groupBy("id").agg(
+        F.min("component").alias("component"), F.min("region").alias("region"))
+    crowd = stage.put("crowd-texts", texts.join(members, "id").repartitionByRange("region", "id").select(
+        "id", "component", "text"))
+    counted = crowd.select("component", "text").mapInPandas(
+        _held_twice(words), "shingle long, holders long, x long, y long").groupBy("shingle").agg(
+        F.sum("holders").alias("holders"), F.min("x").alias("x"), F.max("y").alias("y"))
+    common = counted.filter((F.col("holders") > REGION) & (F.col("x") < F.col("y"))).orderBy(
+        F.desc("holders"), F.desc("shingle")).limit(COMMON).select("shingle").collect()
+    rare = stage.put("rare", crowd.mapInPandas(
+        _first_rows(words, percent, np.array([r["shingle"] for r in reversed(common)], np.int64)),
+        "id long, component long, shingle long"))
     met = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("x"),
                                       F.max("component").alias("y")).filter("x < y")
     blocks = F.ceil(F.col("n") / ROWS).cast("int")
