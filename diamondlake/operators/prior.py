@@ -40,18 +40,28 @@ class Split:
     keys: list[str]
     by: Column
     small: bool = True
+    most: int = 1_000_000         # no key has more cuts
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the range number: NULL for rows of ordinary keys, which stay whole."""
+        """Add the range number: NULL for rows of ordinary keys, which stay whole.
+
+        The number of cuts below the row's value is found by halving steps, as a key may have as
+        many cuts as there are days.
+        """
         hot = self.hot.select(*[F.col(k).alias(f"_hot_{k}") for k in self.keys],
                               F.col("cuts").alias("_cuts"))
         hot = F.broadcast(hot) if self.small else hot
         same = reduce(lambda a, b: a & b,
                       [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in self.keys])
         by = self.by
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(self.most.bit_length()))])
+
+        def ahead(at: Column, step: Column) -> Column:     # past the last cut `get` is NULL
+            return at + F.when(F.get("_cuts", at + step - 1) < by, step).otherwise(0)
+
         return (df.join(hot, same, "left")
                 .withColumn(_SLICE, F.when(F.col("_cuts").isNotNull(),
-                                           F.size(F.filter("_cuts", lambda c: c < by))))
+                                           F.aggregate(steps, F.lit(0), ahead)))
                 .drop("_cuts", *[f"_hot_{k}" for k in self.keys]))
 
 
@@ -78,7 +88,8 @@ def hot_split(rows: DataFrame, keys: Sequence[str], by: Column,
            .groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, grid, max(10_000, 4 * pieces)))
                                .alias("cuts")))
     # several windows read it: written once, at most one row per hot key
-    return Split(Stage(rows.sparkSession).put("hot_keys", hot), keys, by, small)
+    return Split(Stage(rows.sparkSession).put("hot_keys", hot), keys, by, small,
+                 pieces - 1)
 
 
 def day_of(col: str) -> Column:

@@ -168,3 +168,16 @@ def test_first_and_last_row(spark):
                                "k string, seq int, v string")
     assert prior.last_row(df, ["k"], ["seq"], ["v"]).first()["v"] == "z"
     assert prior.first_row(df, ["k"], ["seq"], ["v"]).first()["v"] == "x"
+
+
+def test_ranges_of_a_hot_key_are_found_without_reading_every_cut(spark):
+    """As many cuts lie below a value as a plain count says: before, on and after the ends, and for no value."""
+    df = spark.createDataFrame([("a", x) for x in [*range(-2, 60), None]] + [("b", 5), (None, 5)], "k string, x int")
+    for cuts in ([7], [3, 4, 20], list(range(0, 50, 3))):
+        hot = spark.createDataFrame([("a", cuts)], "k string, cuts array<int>")
+        for most in (len(cuts), 1_000_000):
+            out = prior.Split(hot, ["k"], F.col("x"), most=most).assign(df)
+            assert "filter(" not in out._jdf.queryExecution().optimizedPlan().toString()
+            for r in out.collect():
+                want = sum(c < r["x"] for c in cuts) if r["x"] is not None else 0
+                assert r["_slice"] == (want if r["k"] == "a" else None)
