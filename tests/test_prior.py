@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from diamondlake import session
 from diamondlake.operators import prior
 
 START = dt.datetime(2026, 8, 9, 19)
@@ -181,3 +182,17 @@ def test_ranges_of_a_hot_key_are_found_without_reading_every_cut(spark):
             for r in out.collect():
                 want = sum(c < r["x"] for c in cuts) if r["x"] is not None else 0
                 assert r["_slice"] == (want if r["k"] == "a" else None)
+
+
+def test_tasks_are_sized_for_wide_rows(spark):
+    """Some thirty MB of shuffled rows are dealt to several tasks; they went to one."""
+    session.tune(spark)
+    few = "spark.sql.adaptive.coalescePartitions.parallelismFirst"     # as if there were one core
+    spark.conf.set(few, "false")
+    try:
+        wide = spark.range(0, 400_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 512).alias("k"))
+        dealt = wide.groupBy("k").count().select(F.spark_partition_id().alias("p"))
+        per_task = [r["count"] for r in dealt.groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset(few)
+    assert sum(per_task) == 400_000 and len(per_task) >= 3 and max(per_task) <= 150_000
