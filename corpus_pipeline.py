@@ -29,7 +29,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id. Only rows judged copies go: where an id repeats
     with different texts, its other texts stay."""
-    copies = exact_dedup.exact_dedup(docs).filter("not kept").select(
+    # written, as a filter on what is kept would move below the joins and have the texts moved once more
+    judged = Stage(spark).put("judged", exact_dedup.exact_dedup(docs))
+    copies = judged.filter("not kept").select(
         F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"),
                        F.sha2(text_of(), 256).alias("digest"))

@@ -34,3 +34,18 @@ def connected_components(edges: DataFrame, stage: Stage, name: str = "cc") -> Da
         labels = written.select("id", "label")
         if written.filter("label <> old").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
+
+
+def extended_components(settled: DataFrame, edges: DataFrame, stage: Stage, name: str) -> DataFrame:
+    """(id, component) over the edges behind `settled` (id, component) and further ones.
+
+    The further edges are drawn between the components they touch, so the rounds read these alone and not
+    the edges that are settled.
+    """
+    ends = edges.select("a", "b").join(settled.toDF("a", "of_a"), "a", "left").join(
+        settled.toDF("b", "of_b"), "b", "left")
+    over = connected_components(ends.select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), stage, name)
+    known = settled.join(over.toDF("component", "above"), "component", "left").select(
+        "id", F.coalesce("above", "component").alias("component"))
+    return stage.put(f"{name}-extended", known.union(over.join(settled.select("id"), "id", "left_anti")))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diamondlake.llm import arrays
-from diamondlake.llm.components import connected_components
+from diamondlake.llm.components import connected_components, extended_components
 from diamondlake.llm.common import ship_package, text_of
 from diamondlake.session import Stage
 
@@ -291,10 +291,10 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
 
     pairs = likely("open", members.join(mixed, "region").withColumn("side", F.lit(0)))
     second = links("regions", pairs)
-    linked = connected_components(first.union(second), stage, "all")
+    linked = extended_components(settled, second, stage, "all")
     if not crowds.isEmpty():
         third = links("crowds", likely("met", _rare_regions(crowds, linked, texts, stage, words, percent)))
-        linked = connected_components(first.union(second).union(third), stage, "last")
+        linked = extended_components(linked, third, stage, "last")
 
     member = signed.select("doc_id", "n_shingles", "high", "low")
     named = groups.join(linked, "id", "left").select(

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from diamondlake.llm import components as components_
 from diamondlake.llm import decontaminate, near_dedup
+from diamondlake.session import Stage
 from tests.llm.helpers import EMPTY, FOLD, corpus, frame, words
 
 
@@ -55,6 +57,33 @@ def test_near_dedup_against_brute_force(spark, rows):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_settled_links_are_not_read_again(spark, monkeypatch):
+    """Links found later are drawn between components; before, every pass read all earlier links once a round."""
+    edges, put = {}, Stage.put
+
+    def noted(self, name, df):
+        out = put(self, name, df)
+        if name.endswith("-edges"):
+            edges[name] = out.count()
+        return out
+    monkeypatch.setattr(Stage, "put", noted)
+    rows = family()
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(frame(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in components(rows).items()}
+    assert edges["all-edges"] < edges["first-edges"] / 10
+
+
+def test_components_extended_by_further_links(spark):
+    stage = Stage(spark)
+    frame_of = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first = components_.connected_components(frame_of([(1, 2), (2, 3), (10, 11), (20, 21)]), stage, "a")
+    out = components_.extended_components(first, frame_of([(3, 11), (0, 21), (30, 31), (5, 5), (2, 1)]), stage, "b")
+    assert {r.id: r.component for r in out.collect()} == {
+        1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 0: 0, 20: 0, 21: 0, 30: 30, 31: 30}
+    none = components_.extended_components(first, frame_of([]), stage, "c")
+    assert {r.id: r.component for r in none.collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 20}
+
+
 def test_near_dedup_odd_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "A b c d e f"), (4, "a b c d e f"), (5, ""), (6, None),
             (7, "one"), (8, "ONE"), (8, "one two"), (9, "one two")]

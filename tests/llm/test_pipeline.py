@@ -88,6 +88,14 @@ def test_exact_stage_drops_rows_not_ids(spark):
         (0, "A"), (0, "C"), (4, "D"), (4, "D"), (5, "B"), (8, ""), (9, "A")]
 
 
+def test_exact_stage_moves_the_texts_once_to_judge_them(spark):
+    """The filter on kept rows went below the joins, so that each of two branches moved all texts."""
+    docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(40)], "doc_id long, text string")
+    got = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert "_head" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.doc_id for r in got.collect()) == list(range(33, 40))
+
+
 def test_empty_tables_pass(spark, tmp_path):
     for t, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"),
                       ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
