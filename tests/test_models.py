@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -171,3 +172,56 @@ def test_daily_run(spark, games, tmp_path):
     assert third["target_kind"] == "latest"
     failed = daily.run_daily(ready.limit(0), later, out, now, **options)
     assert failed["status"] == "error" and failed["errors"]
+
+
+# --- work of the fits -------------------------------------------------------------------------------
+
+def test_independent_fits_run_side_by_side_and_keep_their_order(spark):
+    met = threading.Barrier(3, timeout=60)      # breaks if one waits for another to end
+
+    def call(i):
+        met.wait()
+        return spark.range(i).count()
+
+    assert models.side_by_side(spark, [lambda i=i: call(i) for i in (3, 1, 2)]) == [3, 1, 2]
+    assert models.side_by_side(spark, []) == []
+    with pytest.raises(ZeroDivisionError):
+        models.side_by_side(spark, [lambda: 1, lambda: 1 // 0])
+
+
+def test_members_and_folds_are_fitted_side_by_side(spark, games, monkeypatch):
+    members, together = threading.Barrier(3, timeout=60), threading.Barrier(2, timeout=60)
+    fitted = models.fit
+
+    class Waits:
+        def __init__(self, algo):
+            self.algo = algo
+
+        def fit(self, data):
+            members.wait()
+            return self.algo.fit(data)
+
+    boosted, linear = models._boosted, models.LogisticRegression
+    monkeypatch.setattr(models, "_boosted", lambda *a: Waits(boosted(*a)))
+    monkeypatch.setattr(models, "LogisticRegression", lambda **k: Waits(linear(**k)))
+    assert list(models.fit(games, ["x", "z"], QUICK).models) == ["boosted_a", "boosted_b", "logistic"]
+
+    monkeypatch.setattr(models, "LogisticRegression", linear)
+
+    def fold(*args):
+        together.wait()
+        return fitted(*args)
+
+    monkeypatch.setattr(models, "fit", fold)
+    two = dict(cadence=20, max_folds=2)
+    oof = models.walk_forward(games, ["x", "z"], LINEAR, **two)
+    assert oof.count() == sum(f["n_val"] for f in folds.fold_table(games, **two).collect())
+
+
+def test_fits_run_in_tasks_of_many_rows(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(100).repartition(40)
+    assert models.few_tasks(many, 100).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(models, "TASK_ROWS", 4)
+    assert models.few_tasks(many, 100).rdd.getNumPartitions() == 25
+    assert models.few_tasks(spark.range(0, 10, 1, 1), 10).rdd.getNumPartitions() == 1
