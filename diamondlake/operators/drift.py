@@ -32,8 +32,8 @@ def with_rank(values: DataFrame, key: str = "feature", value: str = "value") ->
     """
     counted = values.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
     grid = [i / _COARSE for i in range(_COARSE + 1)]
-    cuts = values.groupBy(key).agg(F.percentile_approx(value, grid, 2000).alias("_cuts"),
-                                   F.count(F.lit(1)).alias("_n"))
+    # both branches below read the cuts with the same columns, so they are taken once
+    cuts = values.groupBy(key).agg(F.percentile_approx(value, grid, 2000).alias("_cuts"))
     v = F.col(value)
     at = F.greatest(F.lit(1), F.least(F.lit(_COARSE), F.size(F.filter("_cuts", lambda c: c < v))))
     ranged = (counted.join(F.broadcast(cuts), key).withColumn("_at", at)
@@ -42,12 +42,13 @@ def with_rank(values: DataFrame, key: str = "feature", value: str = "value") ->
                   F.coalesce(S.ratio((v.cast("double") - F.col("_lo")) * _FINE,
                                      F.col("_hi").cast("double") - F.col("_lo")),
                              F.lit(0.0))))))
-              .select(key, value, "_c", "_n", (F.col("_at") * _FINE + F.col("_part"))
+              .select(key, value, "_c", (F.col("_at") * _FINE + F.col("_part"))
                       .cast("int").alias("_range")))
     lower = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (ranged.groupBy(key, "_range").agg(F.sum("_c").alias("_rc"))
                .select(key, "_range",
-                       F.coalesce(F.sum("_rc").over(lower), F.lit(0)).alias("_offset")))
+                       F.coalesce(F.sum("_rc").over(lower), F.lit(0)).alias("_offset"),
+                       F.sum("_rc").over(Window.partitionBy(key)).alias("_n")))
     within = Window.partitionBy(key, "_range").orderBy(value)
     return (ranged.withColumn("_local", F.sum("_c").over(within))
             .join(F.broadcast(offsets), [key, "_range"])

@@ -327,7 +327,11 @@ def run_line_head(train: DataFrame, val: DataFrame, features: Sequence[str],
 def attributions(ens: Ensemble, games: DataFrame, key: str = "game_id",
                  top: int | None = None, member: str = "logistic") -> DataFrame:
     """(game, feature, attribution, signed_effect, rank): exact log-odds shares of the linear
-    member, relative to the training mean, largest first; or the path-wise shares of a best-first member."""
+    member, relative to the training mean, largest first; or the path-wise shares of a best-first member.
+
+    Keys are counted first. Where a key has one row, its shares are ranked within the row and nothing is
+    shuffled; only rows of repeated keys, ranked together, are laid out and sorted by key.
+    """
     from pyspark.sql import Window
 
     if isinstance(ens.models[member], boosting.Forest):
@@ -337,13 +341,31 @@ def attributions(ens: Ensemble, games: DataFrame, key: str = "game_id",
     share = {c: F.bround(F.lit(float(w)) * (
         (F.coalesce(F.col(c).cast("double"), F.lit(ens.medians[c])) - F.lit(ens.means[c]))
         / F.lit(ens.scales[c])), 6) for c, w in zip(ens.features, coef)}
-    long = (games.select(key, *[v.alias(c) for c, v in share.items()])
+    repeated = (games.groupBy(F.col(key).alias("_repeated")).count().where(F.col("count") > 1)
+                .select("_repeated"))
+    once, more = games, None
+    if not repeated.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("_repeated"))
+        once, more = games.join(repeated, same, "left_anti"), games.join(repeated, same, "left_semi")
+
+    effect = F.when(F.col("attribution") > 0, "positive").otherwise("negative").alias("signed_effect")
+    by_name = {c: -i for i, c in enumerate(sorted(share, key=str.encode))}
+    entries = F.sort_array(F.array(*[
+        F.struct(F.abs(c).alias("size"), F.lit(by_name[c]).alias("name"), F.lit(c).alias("feature"),
+                 F.col(c).alias("attribution")) for c in share]), asc=False)
+    # the shares are columns of their own first: inside the generator each would be rounded twice
+    ranked = (once.select(key, *[v.alias(c) for c, v in share.items()])
+              .select(key, (F.slice(entries, 1, top) if top else entries).alias("_entries"))
+              .select(key, F.posexplode("_entries").alias("_at", "_e"))
+              .select(key, "_e.feature", "_e.attribution", "_at")
+              .select(key, "feature", "attribution", effect, (F.col("_at") + 1).alias("rank")))
+    if more is None:
+        return ranked
+    long = (more.select(key, *[v.alias(c) for c, v in share.items()])
             .unpivot([key], ens.features, "feature", "attribution"))
-    ranked = long.withColumns({
-        "signed_effect": F.when(F.col("attribution") > 0, "positive").otherwise("negative"),
-        "rank": F.row_number().over(Window.partitionBy(key).orderBy(
-            F.abs("attribution").desc(), "feature"))})
-    return ranked.where(F.col("rank") <= top) if top else ranked
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.abs("attribution").desc(), "feature"))
+    together = long.select(key, "feature", "attribution", effect, rank.alias("rank"))
+    return ranked.unionByName(together.where(F.col("rank") <= top) if top else together)
 
 
 # --- persistence -----------------------------------------------------------------------------------

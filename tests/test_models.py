@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import json
 import random
@@ -225,3 +226,26 @@ def test_fits_run_in_tasks_of_many_rows(spark, monkeypatch):
     monkeypatch.setattr(models, "TASK_ROWS", 4)
     assert models.few_tasks(many, 100).rdd.getNumPartitions() == 25
     assert models.few_tasks(spark.range(0, 10, 1, 1), 10).rdd.getNumPartitions() == 1
+
+
+def _rows_shuffled_for(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_attributions_shuffle_repeated_keys_only(spark, games):
+    ens = models.fit(games, ["x", "z"], LINEAR)
+    plain = models.attributions(ens, games, "game_pk")
+    assert _rows_shuffled_for(plain) == 0
+    twice = games.withColumn("game_pk", F.expr("case when game_pk < 3 then null when game_pk < 6 then 7 else game_pk end"))
+    got = models.attributions(ens, twice, "game_pk")
+    assert got.columns == plain.columns and got.schema["rank"].dataType == plain.schema["rank"].dataType
+    size = collections.defaultdict(list)
+    for r in got.collect():
+        size[r["game_pk"]].append((r["rank"], -abs(r["attribution"]), r["feature"], r["signed_effect"], r["attribution"]))
+    assert sum(map(len, size.values())) == 720 and len(size[None]) == 6 and len(size[7]) == 8
+    for found in size.values():
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, len(found) + 1))
+        assert [f[1:3] for f in found] == sorted(f[1:3] for f in found)
+        assert all(f[3] == ("positive" if f[4] > 0 else "negative") for f in found)
+    assert models.attributions(ens, twice, "game_pk", top=1).count() == len(size)
