@@ -200,3 +200,31 @@ def test_shrinkage(spark):
     none = spark.createDataFrame([], "game_date date, lg_woba double")
     got = {r["batter"]: r["shrunk_woba"] for r in A.batter_ratings(form, none).collect()}
     assert got[1] == pytest.approx((6 + 0.315 * 120) / 140) and got[2] is None
+
+
+def test_shared_sums_give_the_same_frames(spark, log):
+    p = frame(spark, log)
+    base, games = A.game_half_pitcher(p), A.game_results(p)
+    batted, relief = A.batting_sums(base), A.relievers(base, games)
+    relieved = A.relief_sums(relief)
+    for alone, shared in ((A.team_batting(base), A.team_batting(base, batted)),
+                          (A.team_contact(base), A.team_contact(base, batted)),
+                          (A.bullpen_games(relief), A.bullpen_games(relief, relieved)),
+                          (A.bullpen_days(relief), A.bullpen_days(relief, relieved))):
+        assert alone.columns == shared.columns
+        want = sorted(map(repr, alone.collect()))
+        assert want and want == sorted(map(repr, shared.collect()))
+
+
+def test_the_game_frame_needs_the_named_pitch_columns_only(spark, log, built):
+    few = frame(spark, log).select(*G.GAME_INPUT)
+    got = {r["game_pk"]: r.asDict() for r in G.build_game_features(few).collect()}
+    assert got.keys() == built.keys()
+    assert all(got[pk][c] == pytest.approx(v) for pk, g in built.items() for c, v in g.items())
+
+
+def test_side_rows_are_joined_by_hash_and_no_stage_is_interpreted(spark, log):
+    out = G.build_game_features(frame(spark, log))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 8       # six team frames, two pitcher frames
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
