@@ -183,3 +183,11 @@ def test_one_label_only_gives_an_infinite_intercept():
     p = 1 / (1 + np.exp(-(z @ w[:-1] + w[-1])))
     slope = z.T @ (p - (z[:, 0] > 0)) + w[:-1]
     assert np.abs(slope).max() < 1e-7
+
+
+def test_cuts_of_many_values_are_the_exact_quantiles(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr(
+        "cast(id * id % 977 as double) as a", "cast(case when id % 3 = 0 then id div 20 else 5 end as double) as b",
+        "case when id % 2 = 0 then id / 7 end as c")
+    assert forests.inner_quantiles(df, ["a", "b", "c"]) == {
+        f: pytest.approx(cuts) for f, cuts in boosting.cut_points(df, ["a", "b", "c"]).items()}
